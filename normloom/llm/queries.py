@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _NAMES = [
     "op1_token_counts",
+    "op4_toxicity",
+    "op5_quality_classifier",
     "op6_quality_rules",
     "op7_byte_bpe",
 ]
