@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 _NAMES = [
     "op1_token_counts",
+    "op3_pii",
     "op4_toxicity",
     "op5_quality_classifier",
     "op6_quality_rules",
     "op7_byte_bpe",
+    "op9_html_extraction",
 ]
 
 
