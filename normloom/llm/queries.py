@@ -15,6 +15,7 @@ _NAMES = [
     "op6_quality_rules",
     "op7_byte_bpe",
     "op9_html_extraction",
+    "op10_substring_dedup",
 ]
 
 
