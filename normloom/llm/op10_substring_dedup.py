@@ -228,6 +228,7 @@ def cleaned(marked: DataFrame, digest: bool = False, window: int = WINDOW) -> Da
                     gone[b] -= 1
                 elif windows[row].is_valid:
                     at = a + np.asarray(windows[row].values, np.int64)
+                    at = at[at + window <= b]
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
             stay = np.cumsum(gone[:n]) == 0

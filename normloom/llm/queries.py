@@ -14,6 +14,7 @@ _NAMES = [
     "op5_quality_classifier",
     "op6_quality_rules",
     "op7_byte_bpe",
+    "op8_minhash",
     "op9_html_extraction",
     "op10_substring_dedup",
 ]
