@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from normloom.llm import docstats, textvec
 from normloom.llm.common import cut, map_text, table
@@ -77,6 +78,28 @@ def document_statistics(documents: DataFrame) -> DataFrame:
     return map_text(documents.select(*columns), work, _OUT)
 
 
+def with_statistics(documents: DataFrame) -> DataFrame:
+    """The rows and columns of `documents` with the statistics of each text as fields of `stats_`."""
+    schema = StructType([*documents.schema.fields, StructField("stats_", StructType([StructField(c, LongType()) for c in docstats.COLUMNS]))])
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = textvec.text_buffers(batch.column("text"))
+        for i, j in textvec.pieces(offsets):
+            stats = docstats.statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            fields = pa.StructArray.from_arrays([pa.array(stats[c], pa.int64()) for c in docstats.COLUMNS], docstats.COLUMNS)
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, fields], names=[*batch.schema.names, "stats_"])
+
+    return map_text(documents, work, schema)
+
+
+def kept_documents(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The documents that the rules keep, with their own columns, judged in one more scan without a join."""
+    chosen = learn(cut(document_statistics(documents)), labels, risk, delta)
+    marked = with_statistics(documents)
+    judged = apply(marked.select(F.struct(*documents.columns).alias("own"), F.col("lang").cast("string").alias("lang"), "stats_.*"), chosen)
+    return judged.where("kept").select("own.*")
+
+
 def _beyond(rule: str) -> F.Column:
     """How many cutoffs of the rule's grid the document exceeds."""
     top, bottom, cutoffs = RULES[rule]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _NAMES = [
     "op1_token_counts",
+    "op2_decontamination",
     "op3_pii",
     "op4_toxicity",
     "op5_quality_classifier",
