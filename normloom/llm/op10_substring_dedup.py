@@ -1,10 +1,12 @@
 """Removal of long passages that earlier documents have.
 
-A window is 50 consecutive words.  A first pass counts hashed windows in
-count-min sketches, one for each input partition, sent as runs of sorted cell
-numbers and merged by range of cells; what remains is a bitmap of the cells
-counted twice or more.  Sketches only overestimate, so no repeated window is
-lost.  A second pass groups exactly, by 128-bit hash, only the windows whose
+A window is 50 consecutive words.  Its anchor is the least hash of its 26-word
+runs: equal windows have equal anchors, and neighbouring windows mostly share
+theirs, so a text has about one anchor for 13 windows.  A first pass counts
+anchors in count-min sketches, one for each input partition, sent as sorted
+cell numbers and merged by range of cells; what remains is a bitmap of the
+cells counted twice or more.  A window occurs no more often than its anchor and
+sketches only overestimate, so no repeated window is lost.  A second pass groups exactly, by 128-bit hash, only the windows whose
 cells are all set, finds each one's smallest document, and tells the others
 which of their windows to remove.
 
@@ -37,6 +39,8 @@ from normloom.llm.common import cut, map_text, small, table
 
 #: Words of a window (a fixed value of the contract).
 WINDOW = 50
+#: Words of the runs of which a window's anchor is the least.
+RUN = 26
 #: Rows of the sketch, and cells of a row at most, as a power of 2.
 DEPTH, CELL_BITS = 2, 28
 #: Cells merged by one task, as a power of 2.
@@ -60,6 +64,15 @@ def _whole_windows(bounds: np.ndarray, window: int) -> np.ndarray:
     return V.ranges(bounds[:-1], np.maximum(np.diff(bounds) - window + 1, 0))
 
 
+def anchors(words: np.ndarray, at: np.ndarray, window: int, run: int) -> np.ndarray:
+    """Least hash of the `run`-word runs inside each window that starts at a position of `at`."""
+    least, reach, span = V.window_hashes(words, run), 1, window - run + 1
+    while 2 * reach <= span:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    return np.minimum(least[at], least[at + span - reach])
+
+
 def texts_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -114,7 +127,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_cells(documents: DataFrame, windows: int, window: int = WINDOW, most_bits: int = CELL_BITS) -> tuple[int, list[np.ndarray]]:
     """Bits of a row, and for each row of the sketch the bitmap of cells counted twice or more."""
-    bits = min(most_bits, max(10, int(8 * windows).bit_length()))
+    bits = min(most_bits, max(10, int(windows).bit_length()))  # about 13 cells an anchor
     low = min(bits, RANGE_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +145,13 @@ def repeated_cells(documents: DataFrame, windows: int, window: int = WINDOW, mos
 
         for batch in batches:
             for *_, bounds, words in _words(batch.column("text")):
-                held.append(V.window_hashes(words, window)[_whole_windows(bounds, window)])
+                at = _whole_windows(bounds, window)
+                if not len(at):
+                    continue
+                keys = anchors(words, at, window, min(RUN, window))
+                # once for each stretch of windows with one anchor
+                new = np.append(True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1))
+                held.append(keys[new])
                 size += len(held[-1])
                 if size > 4_000_000:
                     yield from send()
@@ -169,20 +188,23 @@ def repeated_cells(documents: DataFrame, windows: int, window: int = WINDOW, mos
 
 
 def candidate_windows(documents: DataFrame, bits: int, maps: list[np.ndarray], window: int = WINDOW) -> DataFrame:
-    """doc_id, position and 128-bit key of each window whose cells are all counted twice or more."""
+    """doc_id, position and 128-bit key of each window whose anchor's cells are all counted twice or more."""
     told = documents.sparkSession.sparkContext.broadcast(maps)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for i, j, *_, bounds, words in _words(batch.column("text")):
             at = _whole_windows(bounds, window)
-            keys = V.window_hashes(words, window)
+            if not len(at):
+                continue
+            anchor = anchors(words, at, window, min(RUN, window))
             for row, bitmap in enumerate(told.value):
-                cell = cells(keys[at], row, bits)
-                at = at[(bitmap[(cell >> V.U64(3)).astype(np.int64)] >> (cell & V.U64(7)).astype(np.uint8)) & 1 > 0]
+                cell = cells(anchor, row, bits)
+                flagged = (bitmap[(cell >> V.U64(3)).astype(np.int64)] >> (cell & V.U64(7)).astype(np.uint8)) & 1 > 0
+                at, anchor = at[flagged], anchor[flagged]
             if len(at):
                 owner = np.searchsorted(bounds, at, "right") - 1
-                second = V.window_hashes(words, window, True)
+                keys, second = V.window_hashes(words, window), V.window_hashes(words, window, True)
                 arrays = [pa.array(ids[i:j][owner]), pa.array((at - bounds[owner]).astype(np.int32)), *(pa.array(k[at].view(np.int64)) for k in (keys, second))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "at", "k1", "k2"])
 
