@@ -44,7 +44,9 @@ BEGINNINGS = (3, 4, 5)
 #: A sentence's log-odds before its signs; training may lower it.
 BIAS = -4.0
 THRESHOLD = 0.7
-STEPS, RATE, DECAY = 400, 0.2, 1e-2
+STEPS, RATE, DECAY = 300, 0.1, 1.0
+#: Factor of the prior weights, and documents that halve it.
+PRIOR, SUPPORT = 1.5, 10
 #: Score of a text without any sign.
 LEAK = 1e-3
 
@@ -110,31 +112,41 @@ def bags(texts: list[str], words: dict[str, int]) -> tuple[np.ndarray, np.ndarra
     return np.array(rows, np.int64), np.array(columns, np.int64), np.array(owner, np.int64)
 
 
-def select(texts: list[str], toxic: np.ndarray, size: int = VOCABULARY) -> list[str]:
-    """Signs by the strength of their association with the label, per document."""
+def select(texts: list[str], toxic: np.ndarray, size: int = VOCABULARY) -> dict[str, float]:
+    """Signs of the strongest association with the label, per document, and the prior weight of each.
+
+    The prior is the log-odds of the label given the sign, shared among the
+    signs of one beginning; without it, words that always come together would
+    leave all weight to one of them.
+    """
     inside: tuple[Counter, Counter] = (Counter(), Counter())
     for text, y in zip(texts, toxic.tolist()):
         inside[y].update({sign for w in set(_WORD.findall(text.lower())) for sign in signs(w)})
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(texts) - n1)
-    strength = {}
+    strength, odds = {}, {}
     for w, k1 in inside[1].items():
         k0 = inside[0][w]
         if k0 + k1 >= LEAST:
             p1, p0 = k1 / n1, k0 / n0
             z = (p1 - p0) / np.sqrt((p0 * (1 - p0) + 1 / n0) / n0 + (p1 * (1 - p1) + 1 / n1) / n1)
             if z >= ERRORS or k1 >= LEAST and not k0:
-                strength[w] = z
-    return sorted(strength, key=lambda w: (-strength[w], w))[:size]
+                strength[w], odds[w] = z, PRIOR * k1 / (k1 + SUPPORT) * np.log((k1 + 0.5) / (n1 + 1) * (n0 + 1) / (k0 + 0.5))
+    chosen = sorted(strength, key=lambda w: (-strength[w], w))[:size]
+    alike = Counter(w[: BEGINNINGS[0]] for w in chosen)
+    return {w: float(odds[w]) / alike[w[: BEGINNINGS[0]]] for w in chosen}
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Noisy-or maximum likelihood by Adam on all sentences of the sample."""
     if not len(texts) or not toxic.any():
         return Model({}, BIAS)
-    vocabulary = select(texts, toxic)
+    prior = select(texts, toxic)
+    if not prior:
+        return Model({}, BIAS)
+    vocabulary, prior = list(prior), np.array(list(prior.values()))
     rows, columns, owner = bags(texts, {w: k for k, w in enumerate(vocabulary)})
-    weights, bias = np.full(len(vocabulary), 1.0), BIAS
+    weights, bias = prior.copy(), BIAS
     m, v = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     for step in range(1, STEPS + 1):
         z = np.bincount(rows, weights[columns], minlength=len(owner)) + bias
@@ -143,7 +155,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         # d log-likelihood / dz of a sentence: its score, times the pull of its document's label
         pull = np.where(toxic == 1, harmless / np.maximum(1 - harmless, 1e-9), -1.0)
         gradient_z = pull[owner] * p / len(texts)
-        g = np.append(np.bincount(columns, gradient_z[rows], minlength=len(weights)) - DECAY * weights / len(weights), gradient_z.sum())
+        g = np.append(np.bincount(columns, gradient_z[rows], minlength=len(weights)) - DECAY * (weights - prior) / len(texts), gradient_z.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (0.2 if step > STEPS * 3 // 4 else 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights, bias = weights + move[:-1], min(bias + move[-1], BIAS)

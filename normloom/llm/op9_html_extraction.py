@@ -61,6 +61,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<(/?)([A-Za-z][^\s/
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"\w+")
 _BREAK = "\n"
+#: A tag that the page's end cuts off.
+_OPEN_END = re.compile(r"<[/!?A-Za-z][^<>]*$")
 
 
 class Block:
@@ -115,7 +117,7 @@ def blocks(html: str) -> list[Block]:
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
-            add(html[at:])
+            add(_OPEN_END.sub("", html[at:]))
             break
         add(html[at : m.start()])
         at = m.end()
