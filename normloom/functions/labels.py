@@ -12,7 +12,7 @@ SCHEMA = "kind string, level int, num int, comp int, is_unique boolean, name str
 
 _INT = r"([0-9]+(?:\.[0-9]{3})*)"
 _SIGN = r"(?:[º°˚ª]|[oa](?![a-z0-9]))?"
-_COMP = r"(?:-([a-z]+)(?=[,.;:)\s\\]|$))?"
+_COMP = r"(?:-([a-z]+)(?=[,.;:)\s\\]|$))?+"
 _ORDINAL = r"(unic|primeir|segund|terceir|quart|quint|sext|setim|oitav|non|decim)"
 _ROMAN = rf"(?=[mdclxvi])({X.ROMAN})"
 #: Words of provisions without numbers (fixed values).

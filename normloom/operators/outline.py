@@ -7,10 +7,9 @@ amendments) keep that partitioning.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from normloom.functions import labels as L
@@ -18,9 +17,18 @@ from normloom.functions import text as X
 from normloom.functions.levels import PROVISION_LEVELS
 
 LABEL = ["kind", "level", "num", "comp", "is_unique", "name"]
-_DOC = W.partitionBy("doc_id").orderBy("pos")
-_BEFORE = _DOC.rowsBetween(W.unboundedPreceding, -1)
-_UP_TO = _DOC.rowsBetween(W.unboundedPreceding, 0)
+
+
+def _doc() -> WindowSpec:
+    return W.partitionBy("doc_id").orderBy("pos")
+
+
+def _before() -> WindowSpec:
+    return _doc().rowsBetween(W.unboundedPreceding, -1)
+
+
+def _up_to() -> WindowSpec:
+    return _doc().rowsBetween(W.unboundedPreceding, 0)
 
 
 def amendments(lines: DataFrame) -> DataFrame:
@@ -31,11 +39,11 @@ def amendments(lines: DataFrame) -> DataFrame:
     marks the lines of a run that the document never closes.
     """
     df = lines.withColumn("norm", X.normalize(F.col("raw"))).withColumn("opens", X.opens_quote(F.col("norm"))).withColumn("closes", X.closes_quote(F.col("norm")))
-    df = df.withColumn("last_open", F.max(F.when(F.col("opens"), F.col("pos"))).over(_UP_TO)).withColumn("last_close", F.max(F.when(F.col("closes"), F.col("pos"))).over(_BEFORE))
+    df = df.withColumn("last_open", F.max(F.when(F.col("opens"), F.col("pos"))).over(_up_to())).withColumn("last_close", F.max(F.when(F.col("closes"), F.col("pos"))).over(_before()))
     df = df.withColumn("inside", F.col("last_open").isNotNull() & (F.col("last_close").isNull() | (F.col("last_open") > F.col("last_close"))))
-    df = df.withColumn("open_quote", F.col("inside") & ~F.coalesce(F.lag("inside").over(_DOC) & ~F.lag("closes").over(_DOC), F.lit(False)))
+    df = df.withColumn("open_quote", F.col("inside") & ~F.coalesce(F.lag("inside").over(_doc()) & ~F.lag("closes").over(_doc()), F.lit(False)))
     df = df.withColumn("close_quote", F.col("inside") & F.col("closes")).withColumn("note", F.when(F.col("close_quote"), F.upper(X.closing_note(F.col("norm")))))
-    after = _DOC.rowsBetween(0, W.unboundedFollowing)
+    after = _doc().rowsBetween(0, W.unboundedFollowing)
     df = df.withColumn("unclosed", F.col("inside") & ~F.coalesce(F.max(F.col("closes")).over(after), F.lit(False)))
     return df.drop("last_open", "last_close", "opens", "closes")
 
@@ -43,9 +51,9 @@ def amendments(lines: DataFrame) -> DataFrame:
 def numbered_amendments(marked: DataFrame) -> DataFrame:
     """Drop blank lines after lines, merge neighbouring runs, and number them: ctx is 0 outside."""
     blank = F.col("norm") == ""
-    df = marked.withColumn("drop_", blank & ~F.coalesce(F.lag(blank).over(_DOC) & F.col("inside"), F.lit(False))).where("not drop_").drop("drop_")
-    first = F.col("inside") & ~F.coalesce(F.lag("inside").over(_DOC), F.lit(False))
-    df = df.withColumn("run_first", first).withColumn("ctx", F.when(F.col("inside"), F.sum(first.cast("int")).over(_UP_TO)).otherwise(0).cast("int"))
+    df = marked.withColumn("drop_", blank & ~F.coalesce(F.lag(blank).over(_doc()) & F.col("inside"), F.lit(False))).where("not drop_").drop("drop_")
+    first = F.col("inside") & ~F.coalesce(F.lag("inside").over(_doc()), F.lit(False))
+    df = df.withColumn("run_first", first).withColumn("ctx", F.when(F.col("inside"), F.sum(first.cast("int")).over(_up_to())).otherwise(0).cast("int"))
     raw = F.when(F.col("open_quote"), F.regexp_replace("raw", "^\\s*(?:[\"“”]|'')", "")).otherwise(F.col("raw"))
     tail = "(?i)(?:\\((?:ac|nr)\\))? ?(?:[”“\"]|'')\\s*(?:\\((?:ac|nr)\\)\\.?)?\\s*$"
     df = df.withColumn("raw", F.trim(F.when(F.col("close_quote"), F.regexp_replace(raw, tail, "")).otherwise(raw)))
@@ -57,7 +65,7 @@ def recognised(df: DataFrame, compatible: bool = False) -> DataFrame:
     df = df.withColumn("parsed", L.parse(F.col("norm"), compatible))
     if "list_item" in df.columns:  # elements of an ordered list are named by their position below the line before it
         df = df.withColumn("own_level", F.when(F.col("list_item").isNull(), F.col("parsed.label.level")))
-        level = F.last("own_level", ignorenulls=True).over(_BEFORE)
+        level = F.last("own_level", ignorenulls=True).over(_before())
         named = F.struct(L.child_label(F.when(level == 110, 120).otherwise(level), F.col("list_item")).alias("label"), F.lit(0).alias("taken"))
         df = df.withColumn("parsed", F.when(F.col("list_item").isNotNull(), named).otherwise(F.col("parsed"))).drop("own_level")
     df = df.withColumns({c: F.col(f"parsed.label.{c}") for c in LABEL})
@@ -78,17 +86,17 @@ def merged(df: DataFrame) -> DataFrame:
     dash, or if it starts in lower case itself; paragraphs after a grouping are
     its name.  A paragraph without stop before a provision is its title.
     """
-    prev = lambda c: F.lag(c).over(_DOC)
+    prev = lambda c: F.lag(c).over(_doc())
     same = prev("ctx") == F.col("ctx")
     ended = F.coalesce(prev("close_quote"), F.lit(False)) | prev("note").isNotNull()
     grouping = (F.col("level") < 110) & (F.col("unit") == "provision")
-    df = df.withColumn("grouped_by", F.last(F.when(F.col("unit") != "paragraph", F.coalesce(grouping, F.lit(False))), ignorenulls=True).over(_UP_TO))
+    df = df.withColumn("grouped_by", F.last(F.when(F.col("unit") != "paragraph", F.coalesce(grouping, F.lit(False))), ignorenulls=True).over(_up_to()))
     name = (F.col("unit") == "paragraph") & F.col("grouped_by") & same & ~ended & ~F.col("open_quote")
     omission = (F.col("unit") == "omission") & (prev("unit") == "omission") & same & ~ended
     text = F.when(prev("content") != "", prev("content"))
     runs_on = (F.col("unit") == "paragraph") & ~F.col("grouped_by") & same & ~ended & ~F.col("open_quote") & (text.rlike("[,;-]$") | F.col("content").rlike(r"^\p{Ll}"))
     df = df.withColumn("joins", F.coalesce(name | omission | runs_on, F.lit(False)))
-    df = df.withColumn("island", F.sum((~F.col("joins")).cast("int")).over(_UP_TO))
+    df = df.withColumn("island", F.sum((~F.col("joins")).cast("int")).over(_up_to()))
     head = W.partitionBy("doc_id", "island").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     # an island that a stray paragraph heads falls apart again
     df = df.withColumn("head_unit", F.first("unit").over(head)).withColumn("island", F.when((F.col("head_unit") == "paragraph"), F.struct("island", "pos")).otherwise(F.struct("island", F.lit(-1).cast("int").alias("pos"))))
@@ -100,11 +108,11 @@ def merged(df: DataFrame) -> DataFrame:
     joined = F.array_join(F.filter(F.col("texts.content"), lambda t: t != ""), " ")
     out = out.withColumn("content", F.when(F.col("unit") == "omission", F.col("texts")[0]["content"]).otherwise(joined)).withColumn("heading", F.when(grouping & (F.col("content") != ""), F.col("content")))
     out = out.withColumn("content", F.when(grouping, F.lit("")).otherwise(F.col("content"))).drop("texts", "island")
-    titled = (F.col("unit") == "paragraph") & X.may_be_title(F.col("content")) & (F.col("content") != "") & ~F.col("close_quote") & (F.lead("unit").over(_DOC) == "provision") & (F.lead("ctx").over(_DOC) == F.col("ctx"))
+    titled = (F.col("unit") == "paragraph") & X.may_be_title(F.col("content")) & (F.col("content") != "") & ~F.col("close_quote") & (F.lead("unit").over(_doc()) == "provision") & (F.lead("ctx").over(_doc()) == F.col("ctx"))
     out = out.withColumn("is_title", F.coalesce(titled, F.lit(False)))
-    out = out.withColumn("title", F.when((F.col("unit") == "provision") & F.lag("is_title").over(_DOC), F.lag("content").over(_DOC)))
-    out = out.withColumn("open_quote", F.col("open_quote") | F.coalesce(F.lag("is_title").over(_DOC) & F.lag("open_quote").over(_DOC), F.lit(False)))
-    out = out.withColumn("run_first", F.col("run_first") | F.coalesce(F.lag("is_title").over(_DOC) & F.lag("run_first").over(_DOC), F.lit(False)))
+    out = out.withColumn("title", F.when((F.col("unit") == "provision") & F.lag("is_title").over(_doc()), F.lag("content").over(_doc())))
+    out = out.withColumn("open_quote", F.col("open_quote") | F.coalesce(F.lag("is_title").over(_doc()) & F.lag("open_quote").over(_doc()), F.lit(False)))
+    out = out.withColumn("run_first", F.col("run_first") | F.coalesce(F.lag("is_title").over(_doc()) & F.lag("run_first").over(_doc()), F.lit(False)))
     return out.where("not is_title").drop("is_title")
 
 
@@ -154,19 +162,22 @@ def nested(df: DataFrame) -> DataFrame:
     provision = F.col("unit") == "provision"
     following = F.first(F.when(provision, F.col("level")), ignorenulls=True).over(here.rowsBetween(1, W.unboundedFollowing))
     df = df.withColumn("depth", F.when(provision, F.col("level")).when(F.col("unit") == "omission", F.when(following > 110, following).otherwise(115)).when(F.col("unit") == "amendment", 1000))
-    siblings = {}
     label = F.struct("at", *LABEL)
-    for k in PROVISION_LEVELS:
-        siblings[f"p{k}"] = F.last(F.when(provision & (F.col("level") == k), label), ignorenulls=True).over(past)
-    df = df.withColumns(siblings)
-    # the amendment hangs on the provision right before it
+    # the last provision of each level before a row, then those that no later, higher one has closed
+    lasts = {f"p{k}": F.last(F.when(provision & (F.col("level") == k), label), ignorenulls=True).over(past) for k in PROVISION_LEVELS}
     last_any = F.max(F.when(provision & (F.col("ctx") == 0), F.col("at"))).over(before)
-    live = [F.when((F.lit(k) < F.col("depth")) & (F.col(f"p{k}.at") > reduce(lambda a, b: F.greatest(a, b), [F.coalesce(F.col(f"p{j}.at"), F.lit(-9)) for j in PROVISION_LEVELS if j < k], F.lit(-9))), F.col(f"p{k}")) for k in PROVISION_LEVELS]
-    df = df.withColumn("above", F.when(F.col("unit") == "amendment", F.array(*(F.when(F.col(f"p{k}.at") > reduce(lambda a, b: F.greatest(a, b), [F.coalesce(F.col(f"p{j}.at"), F.lit(-9)) for j in PROVISION_LEVELS if j < k], F.lit(-9)), F.col(f"p{k}")) for k in PROVISION_LEVELS))).otherwise(F.array(*live)))
-    df = df.withColumn("above", F.filter("above", lambda x: x.isNotNull())).drop(*siblings)
+    df = df.withColumns(lasts)
+    kinds = "array<struct<at:int,kind:string,level:int,num:int,comp:int,is_unique:boolean,name:string>>"
+
+    def open_(seen: Column, x: Column) -> Column:
+        live = x.isNotNull() & (x["level"] < F.col("depth")) & (x["at"] > F.coalesce(F.try_element_at(seen, F.lit(-1))["at"], F.lit(-9)))
+        return F.when(live, F.concat(seen, F.array(x))).otherwise(seen)
+
+    df = df.withColumn("lasts", F.array(*lasts).cast(kinds)).drop(*lasts)
+    df = df.withColumn("above", F.aggregate("lasts", F.array().cast(kinds), open_)).drop("lasts")
     run_at = F.max(F.when(F.col("unit") == "amendment", F.col("at"))).over(doc.rowsBetween(W.unboundedPreceding, 0))
     df = df.withColumn("parent_at", F.when(F.col("unit") == "amendment", last_any).otherwise(F.coalesce(F.array_max(F.col("above.at")), F.when(F.col("ctx") > 0, run_at))))
-    above_parent = F.element_at(F.filter("above", lambda x: x["at"] == F.col("parent_at")), 1)["level"]
+    above_parent = F.try_element_at(F.filter("above", lambda x: x["at"] == F.col("parent_at")), F.lit(1))["level"]
     last_level = F.last(F.when(provision & (F.col("ctx") == 0), F.col("level")), ignorenulls=True).over(before)
     df = df.withColumn("parent_level", F.when(F.col("unit") == "amendment", last_level).when(F.size(F.filter("above", lambda x: x["at"] == F.col("parent_at"))) > 0, above_parent).when(F.col("parent_at").isNotNull(), F.lit(1000)).cast("int"))
     # numbers by position: generic provisions and amendments among their siblings

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from normloom.functions import labels as L
 from normloom.functions import text as X
@@ -68,7 +69,7 @@ def ancestry(nodes: DataFrame) -> DataFrame:
     df = nodes.withColumn("own_chain", own)
     last_group = F.last(F.when((F.col("level") < 110) & (F.col("ctx") == 0), F.transform("path", lambda x: x["at"])), ignorenulls=True).over(w)
     df = df.withColumn("group_chain", F.coalesce(last_group, F.array().cast("array<int>")))
-    first = F.element_at("path", 1)
+    first = F.try_element_at("path", F.lit(1))
     outer_article = first["level"] == 110
     # an article's parent is null when a stray paragraph cut it off from the groupings
     parent_of_article = F.last(F.when((F.col("kind") == "article") & (F.col("ctx") == 0), F.coalesce(F.col("parent_at"), F.lit(-1))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -131,7 +132,7 @@ def debug_json(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "at", F.to_json(F.struct(*(c for c in nodes.columns if c not in ("doc_id", "at")))).alias("node"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def zip_bundle(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """ZIP of metadata and text XML, the heading as its comment; same input, same bytes."""
     for metadata, text, comment in parts:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 STYLE = ("b", "i", "sup", "sub")
 
@@ -25,7 +26,7 @@ def merge(runs: Column) -> Column:
     full = F.filter(runs, lambda r: F.length(r["text"]) > 0)
 
     def step(out: Column, r: Column) -> Column:
-        last = F.element_at(out, -1)
+        last = F.try_element_at(out, F.lit(-1))
         alike = F.lit(True)
         for s in (*STYLE, "href"):
             alike = alike & last[s].eqNullSafe(r[s])
@@ -114,7 +115,7 @@ def exists_first(lines: DataFrame, test: Column) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.bool_or(test).alias("any_"), F.min(F.when(test, F.col("pos"))).alias("first_pos"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text_):  # noqa: ANN001, ANN201
     """Canonical composition, which Spark has no function for."""
     import unicodedata

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from normloom.functions import labels as L
@@ -11,8 +11,14 @@ from normloom.sources.profiles import Profile
 
 #: Sections after the body, in the order of their priority.
 MARKERS = ["place_date", "justification", "annex", "cited_law", "signature"]
-_DOC = Window.partitionBy("doc_id")
-_IN_ORDER = _DOC.orderBy("pos")
+
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id")
+
+
+def _in_order() -> WindowSpec:
+    return _doc().orderBy("pos")
 
 
 def markers(lines: DataFrame, profile: Profile) -> DataFrame:
@@ -25,11 +31,11 @@ def markers(lines: DataFrame, profile: Profile) -> DataFrame:
     df = lines.withColumn("marker", kind)
     nth = F.row_number().over(Window.partitionBy("doc_id", "marker").orderBy("pos"))
     df = df.withColumn("starts", F.col("marker").isNotNull() & (nth == 1))
-    return df.withColumn("section", F.last(F.when(F.col("starts"), F.col("marker")), ignorenulls=True).over(_IN_ORDER))
+    return df.withColumn("section", F.last(F.when(F.col("starts"), F.col("marker")), ignorenulls=True).over(_in_order()))
 
 
 def _first(where: Column) -> Column:
-    return F.min(F.when(where, F.col("pos"))).over(_DOC)
+    return F.min(F.when(where, F.col("pos"))).over(_doc())
 
 
 def parts(lines: DataFrame, profile: Profile) -> DataFrame:
@@ -39,10 +45,10 @@ def parts(lines: DataFrame, profile: Profile) -> DataFrame:
     start = F.col("norm").rlike(profile.pattern("heading_start"))
     more = start | F.col("norm").rlike(profile.pattern("heading_more"))
     df = df.withColumn("heading_from", _first(start))
-    broken = F.sum(F.when((F.col("pos") >= F.col("heading_from")) & ~more, 1).otherwise(0)).over(_IN_ORDER)
+    broken = F.sum(F.when((F.col("pos") >= F.col("heading_from")) & ~more, 1).otherwise(0)).over(_in_order())
     in_heading = F.coalesce((F.col("pos") >= F.col("heading_from")) & (broken == 0), F.lit(False))
     df = df.withColumn("in_heading", in_heading)
-    df = df.withColumn("heading_to", F.coalesce(F.max(F.when(F.col("in_heading"), F.col("pos"))).over(_DOC), F.lit(-1)))
+    df = df.withColumn("heading_to", F.coalesce(F.max(F.when(F.col("in_heading"), F.col("pos"))).over(_doc()), F.lit(-1)))
     past = F.col("pos") > F.col("heading_to")
     df = df.withColumn("body_from", _first(past & (L.parse(F.col("norm"))["label"]["level"] <= 110)))
     df = df.withColumn("preamble_from", F.least(_first(past & F.col("norm").rlike(profile.pattern("preamble"))), "body_from"))

@@ -55,7 +55,7 @@ def rules(optional: bool = False) -> dict[str, tuple[int, Column]]:
     first = may_be_first(c("level"), c("num"), c("comp"), F.when(c("num").isNull(), c("name")))
     limit = case(c("kind"), {x.kind: x.many for x in LEVELS})
     labelled = c("unit").isin("provision", "amendment")
-    before_letter = F.element_at(F.filter("path", lambda x: x["level"] != 140), -1)["kind"]
+    before_letter = F.try_element_at(F.filter("path", lambda x: x["level"] != 140), F.lit(-1))["kind"]
     only_and_first = (c("ctx") > 0) & (c("n_same") == 2) & (c("forms") == 2) & (c("kind") == "paragraph")
     out = {
         "repeated_label": (5, peers & (_key() == _key("prev_")) & ~c("kind").isin("penalty", "generic")),

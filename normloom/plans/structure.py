@@ -51,6 +51,7 @@ _PROBLEMS = """,
 sib AS (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM own),
 problems AS (
   SELECT doc_id, 5 AS code, 'repeated_label' AS rule, a AS position FROM sib WHERE prev = n
+  UNION ALL SELECT doc_id, 4, 'bad_first', id FROM nodes WHERE kind = 'chapter' AND num <> 1
   UNION ALL SELECT doc_id, 3, 'discontinuity', a FROM sib WHERE prev IS NOT NULL AND n <> prev + 1 AND n >= prev
   UNION ALL SELECT doc_id, 7, 'bad_position', last_id || '_alt1' FROM own WHERE amended AND last_level > 120
   UNION ALL SELECT doc_id, 19, 'repeated_path', arg_min(id, seq * 100 + sub) FROM (
