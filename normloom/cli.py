@@ -20,14 +20,15 @@ from normloom.sources import readers
 
 def parse_documents(blocks: DataFrame, profile: P.Profile, norm_id: str | None = None, use_links: bool = True) -> tuple[DataFrame, DataFrame]:
     """Documents as XML (doc_id, xml) and their problems (doc_id, code, message) from blocks by one profile."""
-    parts = S.parts(readers.lines(blocks), profile)
-    docs = S.documents(parts, profile)
-    nodes = M.find_links(O.summaries(O.outline(S.body(parts))), use=use_links)
+    # parts and nodes are read by several of the steps below; kept, they also keep the plans short
+    parts = S.parts(readers.lines(blocks), profile).persist()
+    docs = S.documents(parts, profile).persist()
+    nodes = M.find_links(O.summaries(O.outline(S.body(parts)).persist()), use=use_links)
     if use_links:
         keys = ["doc_id", "run_parent"]
         cited, fragments = M.amendment_links(nodes)
         best = M.best_matches(M.matches(cited, fragments, keys), keys)
-        nodes = M.with_overrides(nodes, M.rewritten(best, M.best_base(best, keys), keys))
+        nodes = M.with_overrides(nodes, M.rewritten(best, M.best_base(best, keys), keys)).persist()
     urn = N.urn(F.lit(profile.locality), F.lit(profile.authority), F.lit(profile.type), F.lit(norm_id))
     whole = docs.join(R.xml_body(nodes), "doc_id", "left")
     xml = whole.select("doc_id", R.document_xml(urn, R.initial_part_xml(F.col("heading"), F.col("summary"), F.col("preamble")), F.col("body")).alias("xml"))
@@ -74,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "parse":
         xml, problems = parse_documents(blocks, profile, a.id, not a.no_links)
     else:
-        nodes = O.outline(readers.lines(blocks))
+        nodes = O.outline(readers.lines(blocks)).persist()
         xml, problems = R.xml_body(nodes).withColumnRenamed("body", "xml"), V.validate(nodes).select("doc_id", "code", "message", "position")
     if a.output:
         xml.write.mode("overwrite").parquet(f"{a.output}/xml")
