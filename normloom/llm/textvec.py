@@ -8,15 +8,28 @@ on the process, so executors agree about them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # another C library, which keeps less
+    _malloc_trim = None
+
+
+def _trim() -> None:
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 U64 = np.uint64
 #: Bytes of text worked on at once; temporary arrays take about 40 times this.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -63,7 +76,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and document offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
@@ -71,11 +86,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of at most `most` bytes each (or one document)."""
+    """Ranges of documents of at most `most` bytes each (or one document).
+
+    Between them the memory of freed arrays goes back to the system, which
+    would otherwise keep it for each worker that was once busy.
+    """
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, j
+        _trim()
         i = j
 
 
