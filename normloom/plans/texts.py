@@ -81,6 +81,17 @@ def ingest_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg((F.count("raw") > 0).alias("has_blocks"), F.count_if(F.col("problem") == 15).alias("problems"))
 
 
+@query("""SELECT 3 * page_id AS doc_id, true AS has_blocks, 0 AS problems FROM pages UNION ALL SELECT 3 * doc_id + 1, false, 1 FROM documents
+UNION ALL SELECT 3 * doc_id + 2, true, 0 FROM documents WHERE regexp_matches(text, '\\S')""")
+def ingest_all_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, and every document both as plain text and as an unknown type."""
+    pages = table(spark, sf_dir, "pages").select((3 * F.col("page_id")).alias("doc_id"), F.lit(M.HTML).alias("mime"), F.col("html").cast("binary").alias("content"))
+    texts = table(spark, sf_dir, "documents")
+    odd, plain = (texts.select((3 * F.col("doc_id") + k).alias("doc_id"), F.lit(mime).alias("mime"), F.col("text").cast("binary").alias("content")) for k, mime in ((1, "image/png"), (2, M.TEXT)))
+    found = S.documents(pages.unionByName(odd).unionByName(plain))
+    return found.groupBy("doc_id").agg((F.count("raw") > 0).alias("has_blocks"), F.count_if(F.col("problem") == 15).alias("problems"))
+
+
 @query(f"""WITH {_LINES} SELECT doc_id, count(*) AS n, sum(CASE WHEN regexp_matches(line, '[;.:]') THEN 0 ELSE 1 END) AS n_titles, sum(CASE WHEN regexp_matches(lower(line), '("|”|“|'''')\\s*$') THEN 1 ELSE 0 END) AS n_closing,
  sum(CASE WHEN regexp_matches(line, '^\\s*("|“|”|'''')') THEN 1 ELSE 0 END) AS n_opening FROM l GROUP BY doc_id""")
 def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
