@@ -163,3 +163,13 @@ def segment_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of the bills that have a body."""
     parts = S.parts(_bills(spark, sf_dir).where("doc_id % 11 > 0"), P.find("br", "senado.federal", "projeto.lei;pls"))
     return parts.where("part in ('body', 'marker') or part in ('place_date', 'justification', 'annex', 'cited_law', 'signature')").groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_BILLS} SELECT part, count(*) AS n FROM (SELECT unnest(list_concat(
+ CASE WHEN k % 4 = 0 THEN [CASE WHEN h THEN 'before' ELSE 'summary' END] ELSE [] END, CASE WHEN h THEN ['heading', 'heading'] ELSE [] END, CASE WHEN k % 2 = 0 THEN ['after_heading'] ELSE [] END,
+ CASE WHEN k % 5 > 0 THEN ['summary'] ELSE [] END, ['preamble'],
+ CASE WHEN NOT a THEN ['preamble', 'preamble', 'preamble'] WHEN k % 3 = 0 THEN ['body', 'body', 'marker', 'place_date', 'marker'] ELSE ['body', 'body', 'marker', 'justification', 'justification'] END)) AS part FROM b) GROUP BY part""")
+def segment_all_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each part of every bill, with a body or without."""
+    parts = S.parts(_bills(spark, sf_dir), P.find("br", "senado.federal", "projeto.lei;pls"))
+    return parts.groupBy("part").agg(F.count("*").alias("n"))
