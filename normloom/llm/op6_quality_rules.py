@@ -3,7 +3,7 @@
 Exact rules reject a text of fewer than 20 words or with over 30 % of its words
 in repeated 8-word windows.  Further rules are cutoffs on document statistics.
 A cutoff is taken from a fixed grid by learn-then-test: on the labelled rows of
-a stratum (a language), the exact (Clopper-Pearson) upper bound of the share of
+a stratum (one of the most labelled languages, or all others), the exact (Clopper-Pearson) upper bound of the share of
 good documents that the cutoff rejects must stay within `risk`, at a confidence
 that is Bonferroni-corrected for every (stratum, rule, cutoff) tested.  The
 bound of each rule is its share of `risk`, so all rules together keep it.  The
@@ -34,6 +34,9 @@ RISK = 0.02
 DELTA = 0.05
 #: Strata are the most labelled languages, so many at most; the rest are pooled.
 STRATA = 64
+#: The stratum of all other languages.
+POOLED = ("pooled",)
+Stratum = str | None | tuple[str]
 #: Rule: numerator, denominator and cutoffs tested, from the mildest to the strictest.
 RULES = {
     "symbols": ("n_symbols", "word_chars", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08]),
@@ -111,8 +114,8 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def learn(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str | None, str], int]:
-    """(stratum, rule) -> index of the chosen cutoff in the rule's grid.
+def learn(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[Stratum, str], int | None]:
+    """(stratum, rule) -> index of the chosen cutoff in the rule's grid, None if none is proved.
 
     What reaches the driver is a count for each stratum, rule and grid step.
     """
@@ -123,17 +126,16 @@ def learn(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     sizes = counted.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(STRATA)
     strata = [r["lang"] for r in sizes.collect()]
     named = [x for x in strata if x is not None]
-    wanted = F.col("lang").isin(named) if named else F.lit(False)
-    if None in strata:
-        wanted = F.coalesce(wanted, F.lit(True))
-    rows = counted.where(wanted).collect()
+    own = F.coalesce(F.col("lang").isin(named), F.lit(None in strata))
+    rows = counted.groupBy(F.when(own, F.col("lang")).alias("lang"), own.alias("own"), "rule", "step").agg(F.sum("n").alias("n")).collect()
     table_ = {}
     for r in rows:
-        table_.setdefault((r["lang"], r["rule"]), np.zeros(len(RULES[r["rule"]][2]) + 1, np.int64))[r["step"]] += r["n"]
+        table_.setdefault((r["lang"] if r["own"] else POOLED, r["rule"]), np.zeros(len(RULES[r["rule"]][2]) + 1, np.int64))[r["step"]] += r["n"]
     tests = max(1, len({k[0] for k in table_})) * sum(len(c) for _, _, c in RULES.values())
     chosen = {}
     for (lang, rule), counts in table_.items():
         n = int(counts.sum())
+        chosen[lang, rule] = None
         for step in range(len(RULES[rule][2])):  # mildest first; stop at the first that fails
             if upper_bound(int(counts[step + 1 :].sum()), n, delta / tests) > risk / len(RULES):
                 break
@@ -141,16 +143,15 @@ def learn(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     return chosen
 
 
-def apply(stats: DataFrame, chosen: dict[tuple[str | None, str], int]) -> DataFrame:
+def apply(stats: DataFrame, chosen: dict[tuple[Stratum, str], int | None]) -> DataFrame:
     """Add base_failed, rejected_by and kept."""
     hits = []
     for rule in RULES:
-        limit = None
-        for (lang, name), step in sorted(chosen.items(), key=str):
-            if name == rule:
-                test = F.col("lang").eqNullSafe(F.lit(lang))
-                limit = F.when(test, step + 1) if limit is None else limit.when(test, step + 1)
-        if limit is not None:
+        limits = {lang: None if step is None else step + 1 for (lang, name), step in chosen.items() if name == rule}
+        if any(x is not None for x in limits.values()):
+            limit = F.lit(limits.pop(POOLED, None)).cast("int")
+            for lang, least in sorted(limits.items(), key=str):
+                limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(least).cast("int")).otherwise(limit)
             hits.append(F.when(_beyond(rule) >= limit, F.lit(rule)))
     by = F.concat_ws(",", *hits) if hits else F.lit("")
     out = stats.withColumn("base_failed", base_failed()).withColumn("rejected_by", by)

@@ -35,6 +35,20 @@ def test_upper_bound_is_exact():
     assert op6.upper_bound(2, 50, 0.05) > 2 / 50
 
 
+def test_other_languages_are_pooled(spark, monkeypatch):
+    monkeypatch.setattr(op6, "STRATA", 1)
+    rng = random.Random(5)
+    again = lambda: "\n".join(rng.choice("pqr") for _ in range(100))
+    rows = [(k, prose(30) if k % 4 else again(), "many") for k in range(400)] + [(k, prose(30), [None, "a", "b", "c"][k % 4]) for k in range(400, 700)]
+    odd = [(1000 + k, again(), lang) for k, lang in enumerate(["many", None, "a", "b", "c", "unlabelled"])]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    judged = {r.doc_id: r for r in op6.quality_rules(docs, labels, risk=0.5).collect()}
+    assert len(judged) == len(rows) + len(odd) and judged[1000].kept
+    assert all("dup_lines" in judged[i].rejected_by for i in range(1001, 1006))
+    assert {r.doc_id for r in op6.kept_documents(docs, labels, risk=0.5).collect()} == {i for i, r in judged.items() if r.kept}
+
+
 def test_rules_keep_good_documents(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     judged = op6.quality_rules(docs, labels)
