@@ -48,7 +48,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements whose content is no text of the page at all.
 _HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button".split())
 #: Elements that hold boilerplate.
-_SIDE = frozenset("nav header footer aside form menu dialog fieldset figure".split())
+_SIDE = frozenset("nav header footer aside form menu dialog".split())
 _ARTICLE = frozenset(("article", "main"))
 #: Tags that end an open element of the same kind.
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -180,7 +180,7 @@ def classify(found: list[Block]) -> None:
     in_article = any(b.article and not b.side for b in found)
     for b in found:
         size = len(b.text)
-        if b.side or b.linked > LINKS * size or "\xa9" in b.text and size < LONG:
+        if b.side or b.linked > LINKS * size or not b.article and "\xa9" in b.text and size < LONG:
             b.label = "bad"
         elif b.article:
             b.label = "good"

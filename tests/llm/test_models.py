@@ -145,6 +145,12 @@ def test_main_text():
     assert op9.main_text("<article><p>a &lt;b&gt; c") == "a <b> c"
 
 
+def test_article_keeps_figures_fieldsets_and_signs():
+    html = "<nav>Menu</nav><article><p>Text.<figure><img src=i><table><tr><td>1</td></tr></table><figcaption>A caption</figcaption></figure><fieldset>Set</fieldset><p>Photo \xa9 Ana<form><fieldset>Name</fieldset></form></article><p>\xa9 all rights"
+    assert op9.main_text(html) == "\n\n".join(["Text.", "1", "A caption", "Set", "Photo \xa9 Ana"])
+    assert op9.main_text("<p>\xa9 all rights") == ""
+
+
 def test_pages_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (1, "u", PAGE, 7)], "page_id long, url string, html string, n_chars int")
     got = op9.extract(pages).collect()
