@@ -54,6 +54,17 @@ def ingest_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.xml_paragraphs(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")))
 
 
+@query("SELECT doc_id, 0 AS pos, coalesce(text, '') AS raw FROM documents UNION ALL SELECT doc_id, 1, coalesce(lang, '') FROM documents")
+def ingest_xml_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as direct p children with inline elements."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    text = F.coalesce("text", F.lit(""))
+    a, b, c, d = (escaped(text.substr(F.lit(at), F.lit(n) if n else F.length(text))) for at, n in ((1, 9), (10, 20), (30, 10), (40, 0)))
+    p = F.concat(F.lit("<p>"), a, F.lit("<b>"), b, F.lit("<i>"), c, F.lit("</i></b>"), d, F.lit("</p><p><a href='x'>"), escaped(F.coalesce("lang", F.lit(""))), F.lit("</a></p>"))
+    xml = F.concat(F.lit("<a>"), p, F.lit("<q><p>no</p></q></a>"))
+    return S.xml_paragraphs(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return M.blocks(p.select(F.col("page_id").alias("doc_id"), F.lit(M.HTML).alias("mime"), F.col("html").cast("binary").alias("content")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from normloom.functions import text as X
 from normloom.sources import markup as M
@@ -54,9 +55,17 @@ def line_files(spark: SparkSession, path: str) -> DataFrame:
     return listed(whole.select("doc_id", lines.alias("lines")))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _xml_texts(xml):  # noqa: ANN001, ANN202
+    """Whole texts of the direct p children, which xpath gives only by text node."""
+    from xml.etree import ElementTree
+
+    return xml.map(lambda x: ["".join(p.itertext()) for p in ElementTree.fromstring(x) if p.tag.rpartition("}")[2] == "p"] if x else None, na_action="ignore")
+
+
 def xml_paragraphs(df: DataFrame, text: str = "xml") -> DataFrame:
-    """Direct p children of the root of a well-formed XML text."""
-    return listed(df.select("doc_id", F.xpath(F.col(text), F.lit("/*/p/text()")).alias("lines")))
+    """Direct p children of the root of a well-formed XML text, each with all its text as one paragraph."""
+    return listed(df.select("doc_id", _xml_texts(F.col(text)).alias("lines")))
 
 
 def documents(df: DataFrame, converters: dict | None = None) -> DataFrame:

@@ -66,6 +66,12 @@ def test_files_rules_and_lines(spark, tmp_path):
     assert [r.raw for r in S.lines(S.documents(one)).collect()] == ["um dois"]
 
 
+def test_xml_paragraphs_are_whole(spark):
+    xml = "<a><p>Art. 1 <b>Lei <i>nova</i></b> &amp; vale</p><q><p>no</p></q><p><b>Negrito</b></p><p/><p>fim</p></a>"
+    got = S.xml_paragraphs(spark.createDataFrame([(1, xml), (2, None), (3, "")], "doc_id long, xml string"))
+    assert [tuple(r) for r in got.orderBy("pos").collect()] == [(1, 0, "Art. 1 Lei nova & vale"), (1, 1, "Negrito"), (1, 2, ""), (1, 3, "fim")]
+
+
 def test_runs(spark):
     df = spark.createDataFrame([("abcdef",)], "t string")
     runs = F.array(U.run(F.substring("t", 1, 2), b=True), U.run(F.lit("")), U.run(F.substring("t", 3, 2), b=True), U.run(F.substring("t", 5, 2)))
