@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from normloom.functions import labels as L
 from normloom.functions import text as X
 from normloom.functions.levels import PROVISION_LEVELS
+from normloom.operators import runs as U
 
 LABEL = ["kind", "level", "num", "comp", "is_unique", "name"]
 
@@ -31,6 +32,12 @@ def _up_to() -> WindowSpec:
     return _doc().rowsBetween(W.unboundedPreceding, 0)
 
 
+def composed(lines: DataFrame) -> DataFrame:
+    """Lines with `raw` in NFC; only lines that may change by it go through Python."""
+    odd = F.when(F.col("raw").rlike("[^\u0000-\u02ff\u2010-\u2027]"), F.col("raw"))
+    return lines.withColumn("raw", F.coalesce(U.nfc(odd), F.col("raw")))
+
+
 def amendments(lines: DataFrame) -> DataFrame:
     """Mark quoted runs: inside, starts (first line of a run), open_quote, close_quote, note.
 
@@ -69,10 +76,12 @@ def recognised(df: DataFrame, compatible: bool = False) -> DataFrame:
         named = F.struct(L.child_label(F.when(level == 110, 120).otherwise(level), F.col("list_item")).alias("label"), F.lit(0).alias("taken"))
         df = df.withColumn("parsed", F.when(F.col("list_item").isNotNull(), named).otherwise(F.col("parsed"))).drop("own_level")
     df = df.withColumns({c: F.col(f"parsed.label.{c}") for c in LABEL})
-    # the label ends at the same character of the text, unless normalising changed its length
+    # the label ends at the same character of the text, combining marks that normalising took out not counted
     squeezed = X.squeeze(F.col("raw"))
     same = F.length(squeezed) == F.length("norm")
-    content = F.when(F.col("parsed").isNull(), squeezed).when(same, L.rest(squeezed, F.col("parsed"))).otherwise(L.rest(F.col("norm"), F.col("parsed")))
+    spaced = F.trim(F.regexp_replace(F.regexp_replace("raw", r"([\s\p{Z}])[\u0300-\u036f]+", "$1"), r"[\s\p{Z}]+", " "))
+    label = F.concat(F.lit(r"^[\u0300-\u036f]*(?:[^\u0300-\u036f][\u0300-\u036f]*){"), F.col("parsed.taken").cast("string"), F.lit("}"))
+    content = F.when(F.col("parsed").isNull(), squeezed).when(same, L.rest(squeezed, F.col("parsed"))).otherwise(X.squeeze(F.regexp_replace(spaced, label, F.lit(""))))
     df = df.withColumn("content", content).drop("parsed")
     omitted = X.is_omission(F.col("content")) | ((F.col("ctx") > 0) & (F.col("content") == "") & (F.col("kind").isNull() | ((F.col("level") > 110) & ~F.col("kind").eqNullSafe(F.lit("amendment")))))
     df = df.withColumn("omitted", omitted)
@@ -211,7 +220,7 @@ def outline(lines: DataFrame, compatible: bool = False) -> DataFrame:
     unit, kind, level, num, comp, is_unique, name, title, content, open_quote,
     close_quote, note, omitted, parent_at, parent_level, path, run_parent, id.
     """
-    return nested(rows(merged(recognised(numbered_amendments(amendments(lines)), compatible))))
+    return nested(rows(merged(recognised(numbered_amendments(amendments(composed(lines))), compatible))))
 
 
 def unclosed(lines: DataFrame) -> DataFrame:

@@ -48,6 +48,16 @@ def test_outline(spark):
     assert by["art1"].parent_at == by["cap1"].at and by["art2_cpt_alt1"].parent_at == by["art2_cpt"].at
 
 
+def test_outline_of_decomposed_text(spark):
+    import unicodedata
+
+    text = "Art. 1º É vedada a Alienação:\nI – Órgão;\nII –  Ação x\u0302 do “ Órgão ”.\nArt. 2º A União:\n“Art. 5º À Nação.” (NR)"
+    fields = ["at", "id", "kind", "title", "content", "note"]
+    made, want = (outline(spark, unicodedata.normalize(form, text)).select(*fields).orderBy("at").collect() for form in ("NFD", "NFC"))
+    assert made == want
+    assert [r.content for r in made if r.content] == ["É vedada a Alienação:", "Órgão;", "Ação x\u0302 do “Órgão”.", "A União:", "À Nação."]
+
+
 def test_outline_of_nothing(spark):
     assert outline(spark, "").count() == 0
     assert O.outline(lines(spark, "x").limit(0)).count() == 0
