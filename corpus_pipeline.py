@@ -18,6 +18,8 @@ from normloom.llm import op2_decontamination, op3_pii, op6_quality_rules, op7_by
 from normloom.llm.common import cut, small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity from which documents are near duplicates here, in hundredths; the 85 of op8 is its own contract's.
+NEAR_PERCENT = 80
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each class of near duplicates."""
-    return _without(docs, cut(op8_minhash.near_duplicates(docs).where("not kept").select("doc_id")))
+    return _without(docs, cut(op8_minhash.near_duplicates(docs, NEAR_PERCENT).where("not kept").select("doc_id")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

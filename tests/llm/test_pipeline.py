@@ -30,6 +30,13 @@ def test_stages(spark, tmp_path):
     assert {tuple(r) for r in C.run(spark, str(tmp_path)).collect()} == {tuple(r) for r in docs.collect()}
 
 
+def test_near_dedup_links_from_80_percent(spark, tmp_path):
+    words = [f"w{i}" for i in range(100)]
+    edited = ["x" if i in (30, 60) else w for i, w in enumerate(words)]  # 86 of 106 shingles in common
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(edited), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in C.near_dedup(spark, docs, str(tmp_path)).collect()] == [1]
+
+
 def test_empty_table(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
