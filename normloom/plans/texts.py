@@ -167,6 +167,13 @@ def block_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("any_").select("doc_id", F.col("any_").alias("any_link"), F.col("first_pos").cast("long").alias("first_pos"))
 
 
+@query(f"WITH {_LINES} SELECT doc_id, bool_or(contains(line, 'the ')) AS any_, min(CASE WHEN contains(line, 'the ') THEN n - 1 END) AS first_pos FROM l GROUP BY doc_id")
+def block_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existence and first match over the blocks of every document, of which some match."""
+    lines = S.listed(table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines")))
+    return U.exists_first(lines, F.col("raw").contains("the "))
+
+
 @query("SELECT doc_id, count(*) FILTER (regexp_matches(lower(line), '^[0-9]')) AS n_items FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.6: lines of documents that start with a digit are items, as the grammar has it."""
