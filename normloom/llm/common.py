@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have; beyond it the plans shuffle both sides.
 BROADCAST_ROWS = 1_000_000
+#: Keys that may each hold over 1 / HOT of all rows, and so are joined by broadcast.
+HOT = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from there.
 
-    The folder is the one that `spark.checkpoint.dir` names; only a session
-    without that setting (a test) gets a temporary one.
+    The folder is the one that `spark.checkpoint.dir` names (or that the
+    session was given by hand).  Without any, a session of one machine, such as
+    a test, gets a temporary one; on a cluster that is refused, since executors
+    could not reach it.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder, set if it was not."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    own = context.getCheckpointDir()
+    if own is None:
+        if not given:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            given = tempfile.mkdtemp(prefix="checkpoint")
+            atexit.register(shutil.rmtree, given, ignore_errors=True)
+        context.setCheckpointDir(given)
+    return given or own
+
+
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark `df` for broadcast if its counted rows are within the bound."""
     rows = df.count() if rows is None else rows
@@ -44,3 +63,19 @@ def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordB
                 yield from work(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def skew_join(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """Inner join of `rows` with one row a key, of which a few may have a great share of the rows.
+
+    keyed: the keys, values, and n, the rows of each key; n is not in the
+    result.  Keys with over 1 / `HOT` of all rows are fewer than `HOT`, so they
+    are broadcast and their rows stay where they are; the others are shuffled.
+    Both inputs should be cut, since they are read twice.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] if total is None else total
+    hot = keyed.where(F.col("n") > (total or 0) / HOT)
+    if not hot.head(1):
+        return rows.join(keyed.drop("n"), keys)
+    mild = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col("n") <= total / HOT).drop("n"), keys)
+    return rows.join(F.broadcast(hot.drop("n")), keys).unionByName(mild)

@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Only edges are kept, never more than there were at first; each round is cut
-from its lineage in the shared folder, so a lost executor costs one round.
+from its lineage in the shared folder, so a lost executor costs one round.  The
+edges of a node with a great share of them stay where they are: its least
+neighbour is sent to them.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.common import cut
+from normloom.llm.common import cut, skew_join
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -17,15 +19,20 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """Each u with its least neighbour m and its number of edges."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both).withColumn("m", F.least("u", "m"))
+    return skew_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(edges)
+    moved = skew_join(edges, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -41,4 +48,4 @@ def components(edges: DataFrame) -> DataFrame:
         if (now["n"], now["h"]) == mark or not now["n"]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (now["n"], now["h"])
-        state = cut(_tidy(_small_star(_tidy(_large_star(state)))))
+        state = cut(_tidy(_small_star(cut(_tidy(_large_star(state))))))

@@ -6,9 +6,10 @@ theirs, so a text has about one anchor for 13 windows.  A first pass counts
 anchors in count-min sketches, one for each input partition, sent as sorted
 cell numbers and merged by range of cells; what remains is a bitmap of the
 cells counted twice or more.  A window occurs no more often than its anchor and
-sketches only overestimate, so no repeated window is lost.  A second pass groups exactly, by 128-bit hash, only the windows whose
-cells are all set, finds each one's smallest document, and tells the others
-which of their windows to remove.
+sketches only overestimate, so no repeated window is lost.  A second pass groups
+exactly, by 128-bit hash, only the windows whose cells are all set, finds each
+one's smallest document, and tells the others which of their windows to remove.
+A window of very many documents is told to them by broadcast, not by shuffle.
 
 Documents that are equal word for word are settled before: only the smallest
 of each goes through the passes, and every word of the others is in a window
@@ -18,10 +19,12 @@ The bitmap has at most `DEPTH` times 2**`CELL_BITS` bits whatever the input, so
 it is broadcast; with more windows than it can tell apart, more of them are
 grouped exactly, and the result is the same.
 
-Edge cases: a null text has no words; a text of fewer than 50 words loses
-none; repeated rows of one doc_id count as one document with the longest text's
-rows each reported; passages repeated only within a document stay; other
-columns are ignored.
+Edge cases: a null text has no words; a text of fewer than 50 words loses none;
+passages repeated only within a document stay; rows that share a doc_id, with
+equal texts or not, are judged and reported each by its own text, and no row
+has a smaller id than another of its own id; a row without id loses nothing and
+takes nothing from others; texts of any length are whole; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normloom.llm import textvec as V
-from normloom.llm.common import cut, map_text, small, table
+from normloom.llm.common import cut, map_text, skew_join, small, table
 
 #: Words of a window (a fixed value of the contract).
 WINDOW = 50
@@ -74,11 +77,12 @@ def anchors(words: np.ndarray, at: np.ndarray, window: int, run: int) -> np.ndar
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text and own: with doc_id the key of a row, whatever ids repeat."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("own", F.xxhash64("text"))
 
 
 def sequences(documents: DataFrame) -> DataFrame:
-    """doc_id, number of words and a digest of the word sequence."""
+    """doc_id, own, number of words and a digest of the word sequence."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, own, starts, ends, bounds, _ in _words(batch.column("text")):
@@ -91,9 +95,9 @@ def sequences(documents: DataFrame) -> DataFrame:
             begin = at[starts] if len(starts) else np.zeros(0, np.int64)
             finish = at[ends] if len(ends) else begin
             digests = [hashlib.md5(packed[begin[a] : finish[b - 1]]).digest() if b > a else b"" for a, b in zip(first, last)]
-            yield pa.RecordBatch.from_arrays([batch.slice(i, j - i).column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_words", "sequence"])
+            yield pa.RecordBatch.from_arrays([*(batch.slice(i, j - i).column(c) for c in ("doc_id", "own")), pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "own", "n_words", "sequence"])
 
-    return map_text(documents, work, "doc_id long, n_words long, sequence binary")
+    return map_text(documents, work, "doc_id long, own long, n_words long, sequence binary")
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -188,11 +192,10 @@ def repeated_cells(documents: DataFrame, windows: int, window: int = WINDOW, mos
 
 
 def candidate_windows(documents: DataFrame, bits: int, maps: list[np.ndarray], window: int = WINDOW) -> DataFrame:
-    """doc_id, position and 128-bit key of each window whose anchor's cells are all counted twice or more."""
+    """doc_id, own, position and 128-bit key of each window whose anchor's cells are all counted twice or more."""
     told = documents.sparkSession.sparkContext.broadcast(maps)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for i, j, *_, bounds, words in _words(batch.column("text")):
             at = _whole_windows(bounds, window)
             if not len(at):
@@ -205,33 +208,37 @@ def candidate_windows(documents: DataFrame, bits: int, maps: list[np.ndarray], w
             if len(at):
                 owner = np.searchsorted(bounds, at, "right") - 1
                 keys, second = V.window_hashes(words, window), V.window_hashes(words, window, True)
-                arrays = [pa.array(ids[i:j][owner]), pa.array((at - bounds[owner]).astype(np.int32)), *(pa.array(k[at].view(np.int64)) for k in (keys, second))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "at", "k1", "k2"])
+                row = pa.array(owner + i)
+                arrays = [*(batch.column(c).take(row) for c in ("doc_id", "own")), pa.array((at - bounds[owner]).astype(np.int32)), *(pa.array(k[at].view(np.int64)) for k in (keys, second))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "own", "at", "k1", "k2"])
 
-    return map_text(documents, work, "doc_id long, at int, k1 long, k2 long")
+    return map_text(documents, work, "doc_id long, own long, at int, k1 long, k2 long")
 
 
 def removed_windows(candidates: DataFrame) -> DataFrame:
-    """doc_id and the sorted positions of its windows that a smaller document has."""
+    """doc_id, own and the sorted positions of its windows that a smaller document has; candidates are cut."""
     # the smallest and largest document of each window, pre-aggregated before the shuffle
-    shared = candidates.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").select("k1", "k2", "least")
-    hits = candidates.join(shared, ["k1", "k2"]).where("doc_id > least")
-    return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("windows"))
+    seen = candidates.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    shared = cut(seen.where("most > least").select("k1", "k2", "least", "n"))
+    hits = skew_join(candidates, shared, ["k1", "k2"]).where("doc_id > least")
+    return hits.groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("at")).alias("windows"))
 
 
 def removals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, windows (positions to remove) and copy (equal to a smaller document)."""
+    """doc_id, text, own, windows (positions to remove) and copy (equal to a smaller document)."""
     texts = texts_of(documents)
     keyed = cut(sequences(texts))
-    firsts = keyed.where(F.col("n_words") >= window).groupBy("sequence").agg(F.min("doc_id").alias("first_id"))
-    copies = cut(keyed.join(firsts, "sequence").where("doc_id > first_id").select(F.col("doc_id").alias("copy_id")).distinct())
+    firsts = cut(keyed.where(F.col("n_words") >= window).groupBy("sequence").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
+    copies = skew_join(keyed, firsts, ["sequence"]).where("doc_id > first_id")
+    copies = cut(copies.select(F.col("doc_id").alias("copy_id"), F.col("own").alias("copy_own")).distinct())
     totals = keyed.agg(F.sum(F.greatest(F.col("n_words") - window + 1, F.lit(0))).alias("n")).first()
-    told = small(copies, most=TOLD)
-    kept = texts.join(told, F.col("doc_id") == F.col("copy_id"), "left_anti").where(F.col("text").isNotNull())
+    told, is_copy = small(copies, most=TOLD), (F.col("doc_id") == F.col("copy_id")) & (F.col("own") == F.col("copy_own"))
+    kept = texts.join(told, is_copy, "left_anti").where(F.col("text").isNotNull())
     bits, maps = repeated_cells(kept, totals["n"] or 0, window)
     hits = cut(removed_windows(cut(candidate_windows(kept, bits, maps, window))))
-    marked = texts.join(told, F.col("doc_id") == F.col("copy_id"), "left").withColumn("copy", F.col("copy_id").isNotNull()).drop("copy_id")
-    return marked.join(small(hits.withColumnRenamed("doc_id", "hit_id"), most=TOLD // 20), F.col("doc_id") == F.col("hit_id"), "left").drop("hit_id")
+    marked = texts.join(told, is_copy, "left").withColumn("copy", F.col("copy_id").isNotNull()).drop("copy_id", "copy_own")
+    hit = hits.withColumnsRenamed({"doc_id": "hit_id", "own": "hit_own"})
+    return marked.join(small(hit, most=TOLD // 20), (F.col("doc_id") == F.col("hit_id")) & (F.col("own") == F.col("hit_own")), "left").drop("hit_id", "hit_own")
 
 
 def cleaned(marked: DataFrame, digest: bool = False, window: int = WINDOW) -> DataFrame:

@@ -10,7 +10,8 @@ bytes (byte fallback).  Scores are whole numbers and summed exactly.
 
 No piece of the vocabulary continues from another character into a word mark,
 which is checked when it is loaded, so the best path of a text is that of its
-space-led units one after another.  Counts of units are kept by 128-bit hash.
+space-led units one after another.  Counts of units are kept by 128-bit key:
+the bytes themselves up to 15, a BLAKE2b digest beyond.
 
 Edge cases: a null or empty text has 0 tokens; units of any length are whole;
 repeated rows each get a row; other columns are ignored.
@@ -99,7 +100,7 @@ class Unigram:
         begins[offsets[:-1][full]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
-        first, second = V.word_hashes(data, starts, ends), V.word_hashes(data, starts, ends, True)
+        first, second = V.word_keys(data, starts, ends)
         if self.known.size > 1 << (CACHE_BITS - 1):
             self.known = Table(CACHE_BITS)
         found = self.known.get(first, second)

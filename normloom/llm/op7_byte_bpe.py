@@ -7,7 +7,8 @@ the closure of these functions under composition is a small monoid, so an
 associative scan over monoid elements gives the state before every character,
 and a table lookup says where a piece starts.  No regular expression is used.
 The byte slices between starts feed a bounded cache of merged pieces, keyed by
-128-bit hashes; pieces that are not in it are merged side by side in matrices.
+128-bit keys: the bytes themselves up to 15, a BLAKE2b digest beyond, so no
+piece is taken for another.  New pieces are merged side by side in matrices.
 
 `encode` keeps the byte offset of every token's end, and `decode` turns ids
 back into bytes by table.
@@ -151,7 +152,7 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Ranks of a tiktoken file, and merged pieces kept by their 128-bit hash."""
+    """Ranks of a tiktoken file, and merged pieces kept by their 128-bit key."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -179,7 +180,7 @@ class Vocabulary:
         self.known = Table(CACHE_BITS)
         own = np.array(sorted(self.ranks.values()), np.int64)
         starts, ends = self.text_at[own], self.text_at[own] + self.lengths[own]
-        self.known.put(V.word_hashes(self.text, starts, ends), V.word_hashes(self.text, starts, ends, True), np.arange(len(own)))
+        self.known.put(*V.word_keys(self.text, starts, ends), np.arange(len(own)))
         self.count = np.ones(len(own), np.int64)
         self.at = np.arange(len(own))
         self.ids = own
@@ -275,7 +276,7 @@ class Vocabulary:
         full = np.flatnonzero(np.diff(offsets))
         starts = lead[piece_starts(points, np.searchsorted(lead, offsets[full]))]
         ends = np.append(starts[1:], len(data))
-        first, second = V.word_hashes(data, starts, ends), V.word_hashes(data, starts, ends, True)
+        first, second = V.word_keys(data, starts, ends)
         if self.known.size > 1 << (CACHE_BITS - 1) or len(self.ids) > 1 << (CACHE_BITS + 2):
             self._forget()
         found = self.known.get(first, second)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ U64 = np.uint64
 #: Bytes of text worked on at once; temporary arrays take about 40 times this.
 CHUNK_BYTES = 1_000_000
 
-_rng = np.random.default_rng(20240601)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WBASE = 0xD6E8FEB86659FD93 | 1
-_WBASE2 = 0xC2B2AE3D27D4EB4F | 1
+#: Odd multiplier of the earlier of two hashes that are combined.
+_NEXT = U64(0x9E3779B97F4A7C17)
+_SECOND = U64(0xC2B2AE3D27D4EB4F)
+#: Byte ranges up to this long are their own key.
+EXACT_BYTES = 15
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)], U64)
 
 #: ASCII white space: space and TAB to CR.
 SPACE = np.zeros(256, bool)
@@ -54,24 +55,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.base, m, 2**64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inverse, m, 2**64))])
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _BYTES2, _WORDS, _WORDS2 = _Powers(_BASE), _Powers(0xA24BAED4963EE407), _Powers(_WBASE), _Powers(_WBASE2)
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and document offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -124,22 +107,57 @@ def word_spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    """Hash of each byte range; the second one is independent of the first."""
-    up, down = (_BYTES2 if second else _BYTES).to(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((_BYTE2 if second else _BYTE)[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each byte range, the first of them a hash by itself.
+
+    Up to `EXACT_BYTES` bytes the pair is a permutation of the bytes and their
+    number, so equal pairs mean equal bytes; beyond, it is a BLAKE2b digest.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # the 8 bytes from each byte on
+    first, second = eight[starts].astype(U64), np.zeros(len(starts), U64)
+    short = size < 8
+    first[short] &= _MASK[size[short]]
+    more = np.flatnonzero(size > 8)
+    second[more] = eight[starts[more] + 8] & _MASK[np.minimum(size[more] - 8, 7)]
+    second |= np.minimum(size, 255).astype(U64) << U64(56)
+    long_ = np.flatnonzero(size > EXACT_BYTES)
+    if len(long_):
+        raw = data.tobytes()
+        digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts[long_].tolist(), ends[long_].tolist())])
+        pairs = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        first[long_], second[long_] = pairs[:, 0], pairs[:, 1] | U64(255 << 56)
+    first = mix(first ^ mix(second ^ _SECOND))
+    return first, mix(second + first * _NEXT)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    return word_keys(data, starts, ends)[0]
 
 
 def window_hashes(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """Hash of each run of k consecutive words (of the whole array)."""
-    if len(words) < k:
+    """Hash of each run of k consecutive words (of the whole array); the second one is independent of the first.
+
+    Runs of 1, 2, 4, ... words are mixed from their halves, and a run of k from
+    those that make it up, so no sum of terms can cancel.
+    """
+    n = len(words) - k + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    up, down = (_WORDS2 if second else _WORDS).to(len(words) + 1)
-    total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: len(words) - k + 1])
+    level, reach, rest, done, out = mix(words + _SECOND) if second else words, 1, k, 0, None
+    while rest:
+        if rest & 1:
+            part = level[done : done + n]
+            out = part if out is None else mix(out * _NEXT + part)
+            done += reach
+        rest >>= 1
+        if rest:
+            level = mix(level[:-reach] * _NEXT + level[reach:])
+            reach *= 2
+    return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
