@@ -1,24 +1,30 @@
 """Near-duplicate classes by MinHash, banding, verification and components.
 
 1. Each text becomes its set of hashed five-word shingles and `BANDS` x `ROWS`
-   minima of universal hash functions.  Texts with equal sets are one class and
-   go on as its smallest document.
+   minima of universal hash functions.  Rows with equal sets are one class.
 2. Classes that share a band form buckets.  Every member is tied to the bucket's
    smallest; components of these ties (large-star, small-star) are clusters, so
    any two classes of a bucket are in one cluster.
-3. A cluster is read by one task if it has at most `UNIT` classes; of a larger
-   one each distinct bucket is, and of larger buckets each pair of blocks.  The
-   task joins full sets exactly (size and rare-first prefix filters, then the
-   intersection), skips pairs that are linked already, and gives only the edges
-   of a spanning forest.  No pairs are emitted, and none is missed in a unit.
+3. Two classes are linked if they share a band and their full sets are similar
+   enough, whatever the size of their cluster or bucket.  A cluster within
+   `UNIT` classes and `WEIGHT` shingles is one unit of work, read by one task;
+   of a larger one each distinct bucket is.  A bucket beyond these bounds is
+   dealt into blocks twice, by two hashes, which links nearly all of it at a
+   cost in proportion to it; members that are still apart from the bucket's
+   largest class (strays) are then compared with every block of it.  A unit's
+   sets are joined exactly (size and rare-first prefix filters, a shared band,
+   the intersection), pairs that are linked already are skipped, and only the
+   edges of a spanning forest come out.
 4. Components of the confirmed edges are the result.
 
 Two sets of similarity 0.85 share a band with a chance of 1 - 4e-8.
 
 Edge cases: a null text, or one without words, has an empty set, is linked with
-nothing and is its own component; fewer than five words are one shingle;
-repeated rows of one doc_id fall into one class and each get a row; other
-columns are ignored.
+nothing and is its own component; fewer than five words are one shingle; every
+row is judged by its own text, also where rows share a doc_id, and has as
+component_id the smallest id of the rows that it is linked with; a row without
+id is linked with nothing and kept; texts of any length are whole; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,19 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normloom.llm import textvec as V
-from normloom.llm.common import cut, map_text, small, table
+from normloom.llm.common import cut, map_text, skew_join, small, table
 from normloom.llm.components import components
 
 #: Similarity of a link, in hundredths (a fixed value of the contract).
 PERCENT = 85
 SHINGLE = 5
 BANDS, ROWS = 36, 6
-#: Classes that one verifying task group holds at most (a pair of blocks holds half each).
-UNIT = 2000
+#: Classes and shingles that a unit of work holds at most (one longer text has a unit with as little else as can be).
+UNIT, WEIGHT = 2000, 4_000_000
+#: Rows of (unit, class, bands) that are broadcast at most, about 200 bytes each.
+TOLD = 200_000
 
 _rng = np.random.default_rng(8)
 _A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -65,23 +73,24 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set and its band keys (null if empty)."""
+    """doc_id, own, n_shingles, a digest of the set and its band keys (both null if it is empty or has no id)."""
     from hashlib import md5
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = V.text_buffers(batch.column("text"))
         for i, j in V.pieces(offsets):
+            rows = batch.slice(i, j - i)
             sets = V.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
-            full = [k for k, s in enumerate(sets) if len(s)]
+            full = [k for k, (s, x) in enumerate(zip(sets, rows.column("doc_id").to_pylist())) if len(s) and x is not None]
             bands: list = [None] * len(sets)
+            digests: list = [None] * len(sets)
             if full:
                 for k, keys in zip(full, band_keys(np.stack([signature(sets[k]) for k in full]))):
-                    bands[k] = keys
-            digests = [md5(s.tobytes()).digest() if len(s) else None for s in sets]
-            arrays = [batch.slice(i, j - i).column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "bands"])
+                    bands[k], digests[k] = keys, md5(sets[k].tobytes()).digest()
+            arrays = [rows.column("doc_id"), rows.column("own"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "own", "n_shingles", "digest", "bands"])
 
-    return map_text(documents, work, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return map_text(documents, work, "doc_id long, own long, n_shingles long, digest binary, bands array<long>")
 
 
 class Forest:
@@ -97,10 +106,10 @@ class Forest:
         return bool(x != y)
 
 
-def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the exact similarity graph of non-empty sets."""
+def links(sets: list[np.ndarray], bands: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges of a spanning forest: non-empty sets that share a band and are similar; bands: a row for each set."""
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    sets = [sets[k] for k in order]
+    sets, bands = [sets[k] for k in order], bands[order]
     sizes = np.array([len(s) for s in sets])
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int64)
@@ -129,6 +138,7 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
         low, high = np.searchsorted(key, head), np.searchsorted(key, head, "right")
         near = np.unique(owner[V.ranges(low, high - low)])
         near = near[(near > k) & (forest.label[near] != forest.label[k]) & (100 * sizes[k] >= percent * sizes[near])]
+        near = near[(bands[near] == bands[k]).any(axis=1)]
         if not len(near):
             continue
         flag[token[at[k] : at[k + 1]]] = True
@@ -143,81 +153,119 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
 
 
 def confirmed(units: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (u, v) between documents of one unit; units: unit, doc_id, text."""
+    """Edges (u, v) between classes of one unit; units: unit, member, bands, text."""
 
-    def edges(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-        data, offsets = V.text_buffers(pa.array(texts, pa.large_string()))
-        sets = [s for i, j in V.pieces(offsets) for s in V.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)]
-        full = [k for k, s in enumerate(sets) if len(s)]
-        pairs = links([sets[k] for k in full], percent) if len(full) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([ids[full[p[k]]] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    def edges(ids: list[int], sets: list[np.ndarray], bands: list[bytes]) -> pa.RecordBatch:
+        keys = np.frombuffer(b"".join(bands), np.uint32).reshape(len(bands), BANDS)
+        pairs = links(sets, keys, percent) if len(ids) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([ids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, texts = None, [], []
-        for batch in batches:  # sorted by unit
-            units_, docs = batch.column("unit").to_pylist(), batch.column("doc_id").to_pylist()
-            column = batch.column("text")
-            starts = [k for k in range(len(units_)) if k == 0 or units_[k] != units_[k - 1]]
-            for a, b in zip(starts, [*starts[1:], len(units_)]):
-                if units_[a] != current:
+        current, ids, sets, bands = None, [], [], []
+        for batch in batches:  # sorted by unit; what stays of a text is its set
+            names, members, keys = (batch.column(c).to_pylist() for c in ("unit", "member", "bands"))
+            data, offsets = V.text_buffers(batch.column("text"))
+            own = [s for i, j in V.pieces(offsets) for s in V.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)]
+            starts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+            for a, b in zip(starts, [*starts[1:], len(names)]):
+                if names[a] != current:
                     if len(ids) > 1:
-                        yield edges(ids, texts)
-                    current, ids, texts = units_[a], [], []
-                ids += docs[a:b]
-                texts += column.slice(a, b - a).to_pylist()
+                        yield edges(ids, sets, bands)
+                    current, ids, sets, bands = names[a], [], [], []
+                ids += members[a:b]
+                sets += own[a:b]
+                bands += keys[a:b]
         if len(ids) > 1:
-            yield edges(ids, texts)
+            yield edges(ids, sets, bands)
 
-    return units.select("unit", "doc_id", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(work, "u long, v long")
+    return units.select("unit", "member", "bands", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(work, "u long, v long")
 
 
-def work_units(buckets: DataFrame, ties: DataFrame, unit: int = UNIT) -> DataFrame:
-    """(unit, member): clusters that fit, else distinct buckets, else pairs of a bucket's blocks.
+def _blocks(size: Column, weight: Column, unit: int) -> Column:
+    """Blocks of which any two are within the bounds of a unit; 1 for what is within them as a whole."""
+    halves = F.greatest(F.ceil(size / max(1, unit // 2)), F.ceil(weight / (WEIGHT // 2)))
+    return F.when((size <= unit) & (weight <= WEIGHT), 1).otherwise(F.greatest(halves, F.lit(2))).cast("int")
 
-    buckets: key, member (buckets of two or more); ties: u, v.
-    """
-    clusters = components(ties)
-    placed = clusters.select(F.col("node").alias("member"), "component").unionByName(clusters.select(F.col("component").alias("member"), "component").distinct())
-    sizes = cut(placed.groupBy("component").agg(F.count("*").alias("n")))
-    fitting = placed.join(sizes.where(F.col("n") <= unit), "component").select(F.concat(F.lit("c"), F.col("component").cast("string")).alias("unit"), "member")
-    if not sizes.where(F.col("n") > unit).head(1):
-        return fitting
-    large = cut(buckets.join(placed.join(sizes.where(F.col("n") > unit), "component").select("member"), "member", "left_semi"))
-    seal = [F.count("*").alias("n"), F.min("member").alias("low"), F.max("member").alias("high"), F.bit_xor(F.xxhash64("member")).alias("x1"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("x2")]
-    alike = large.groupBy("key").agg(*seal).groupBy("n", "low", "high", "x1", "x2").agg(F.min("key").alias("key"))
-    blocks = F.greatest(F.ceil(F.col("n") / (unit // 2)), F.lit(1)).cast("int")
-    members = large.join(alike.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("member", F.lit(2)), F.col("blocks")).cast("int"))
-    paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
-    paired = paired.where((F.col("other") != F.col("own")) | (F.col("blocks") == 1))
-    name = F.concat_ws("b", F.lit("k"), F.col("key"), F.least("own", "other"), F.greatest("own", "other"))
-    return fitting.unionByName(paired.select(name.alias("unit"), "member"))
+
+def _dealt(salt: int, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("key", "member", F.lit(salt)), blocks)
+
+
+def whole_units(placed: DataFrame, unit: int) -> DataFrame:
+    """(unit, member) of the clusters within the bounds; placed: member, n_shingles, component."""
+    sizes = cut(placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")))
+    fits = sizes.where(_blocks(F.col("n"), F.col("weight"), unit) == 1).select("component")
+    return placed.join(small(fits), "component").select(F.concat(F.lit("c"), F.col("component").cast("string")).alias("unit"), "member")
+
+
+def bucket_members(placed: DataFrame, whole: DataFrame, buckets: DataFrame, unit: int) -> DataFrame:
+    """(key, member, blocks) of the distinct buckets of the other clusters."""
+    large = cut(buckets.select("key", "member").join(placed.select("member", "n_shingles").join(whole.select("member"), "member", "left_anti"), "member"))
+    seal = [F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("member").alias("low"), F.max("member").alias("high"), F.bit_xor(F.xxhash64("member")).alias("x1"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("x2")]
+    alike = large.groupBy("key").agg(*seal).groupBy("size", "weight", "low", "high", "x1", "x2").agg(F.min("key").alias("key"))
+    return cut(skew_join(large, cut(alike.select("key", _blocks(F.col("size"), F.col("weight"), unit).alias("blocks"), F.col("size").alias("n"))), ["key"]).select("key", "member", "blocks"))
+
+
+def dealt_units(members: DataFrame) -> DataFrame:
+    """(unit, member): buckets of one block, and each block of the others by two hashes."""
+    name = lambda salt: F.concat_ws("b", F.lit("k"), F.col("key"), F.lit(salt), _dealt(salt, F.col("blocks")))
+    names = F.when(F.col("blocks") == 1, F.array(F.concat(F.lit("k"), F.col("key").cast("string")))).otherwise(F.array(name(1), name(2)))
+    return members.select(F.explode(names).alias("unit"), "member")
+
+
+def stray_units(members: DataFrame, edges: DataFrame, unit: int) -> DataFrame:
+    """(unit, member): of each bucket of several blocks, what is apart from its largest class, with each of its blocks."""
+    found = components(edges)
+    wide = members.where("blocks > 1")
+    labelled = cut(wide.join(small(found.withColumnRenamed("node", "member")), "member", "left").select("key", "member", "blocks", F.coalesce("component", "member").alias("label")))
+    tops = labelled.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.sum("m").alias("n"), F.max("m").alias("most"))
+    # the bucket's strays go in blocks too, one for each half unit of them
+    split = tops.where("most < n").withColumn("parts", F.ceil((F.col("n") - F.col("most")) / max(1, unit // 2)).cast("int")).select("key", "top", "n", "parts")
+    open_ = cut(skew_join(labelled, cut(split), ["key"]))
+    name = lambda a, b: F.concat_ws("b", F.lit("s"), F.col("key"), a, b)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    strays = open_.where("label <> top").withColumn("other", each(F.col("blocks"))).select(name(_dealt(3, F.col("parts")), F.col("other")).alias("unit"), "member")
+    rest = open_.withColumn("other", each(F.col("parts"))).select(name(F.col("other"), _dealt(4, F.col("blocks"))).alias("unit"), "member")
+    return strays.unionByName(rest).distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT, unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("own", F.xxhash64("text"))
     sketched = cut(sketches(texts))
-    classes = sketched.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("member"), F.first("bands").alias("bands"))
-    banded = cut(classes.select("member", F.explode("bands").alias("key")))
-    hubs = banded.groupBy("key").agg(F.min("member").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    buckets = cut(banded.join(hubs, "key").select("key", "member", "hub"))
-    ties = buckets.where("member <> hub").select(F.col("member").alias("u"), F.col("hub").alias("v")).distinct()
-    units = cut(work_units(buckets.select("key", "member"), ties, unit))
-    first_texts = texts.groupBy("doc_id").agg(F.first("text").alias("text")) if _repeats(sketched) else texts
-    edges = confirmed(first_texts.join(small(units), F.col("doc_id") == F.col("member")), percent)
+    grouped = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "own")).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = cut(grouped.withColumn("member", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    banded = classes.select("member", F.explode("bands").alias("key"))
+    hubs = cut(banded.groupBy("key").agg(F.min("member").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    buckets = cut(skew_join(banded, hubs, ["key"]))
+    clusters = components(buckets.where("member <> hub").select(F.col("member").alias("u"), F.col("hub").alias("v")).distinct())
+    nodes = clusters.select(F.col("node").alias("member"), "component").unionByName(clusters.select(F.col("component").alias("member"), "component").distinct())
+    placed = cut(nodes.join(classes.select("member", "n_shingles"), "member"))
+    repeats = sketched.where("digest is not null").groupBy("doc_id", "own").count().where("count > 1").head(1)
+
+    def verified(units: DataFrame) -> DataFrame:
+        packed = F.concat(*(F.unhex(F.substring(F.lpad(F.hex(F.get("bands", k)), 16, "0"), 9, 8)) for k in range(BANDS)))
+        wanted = classes.select("member", "rep.doc_id", "rep.own", packed.alias("bands")).join(units, "member")
+        rows = texts.where(F.col("text").isNotNull()).join(small(cut(wanted), most=TOLD), ["doc_id", "own"])
+        return cut(confirmed(rows.dropDuplicates(["unit", "member"]) if repeats else rows, percent))
+
+    whole = cut(whole_units(placed, unit))
+    edges = verified(whole)
+    if placed.count() > whole.count():
+        members = bucket_members(placed, whole, buckets, unit)
+        dealt = verified(dealt_units(members))
+        strays = cut(stray_units(members, dealt, unit))
+        edges = edges.unionByName(dealt).unionByName(verified(strays) if strays.head(1) else dealt.limit(0))
     found = components(edges)
-    members = sketched.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("member"))
-    placed = members.join(small(found), F.col("member") == F.col("node"), "left").select(F.col("digest").alias("own_digest"), F.coalesce("component", "member").alias("component_id"))
-    placed = small(cut(placed))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(placed, F.col("digest") == F.col("own_digest"), "left")
+    linked = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    joined = classes.join(small(linked), F.col("member") == F.col("node"), "left").where("component is not null or copies > 1")
+    joined = cut(joined.select("digest", F.coalesce("component", "member").alias("component"), F.col("rep.doc_id").alias("doc_id")))
+    least = cut(joined.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    named = cut(skew_join(joined, least, ["component"]).select(F.col("digest").alias("own_digest"), "component_id"))
+    out = sketched.select("doc_id", "n_shingles", "digest").join(small(named), F.col("digest") == F.col("own_digest"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _repeats(sketched: DataFrame) -> bool:
-    """Whether some doc_id has more than one row."""
-    return bool(sketched.groupBy("doc_id").count().where("count > 1").head(1))
-
-
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -48,7 +48,7 @@ def test_decontamination(spark, texts, items):
 
 
 def test_decontamination_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(op2, "small", lambda df: df)
+    monkeypatch.setattr(op2, "TOLD", -1)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in op2.decontaminate(documents(spark), bench).collect()}
     assert got == contamination(TEXTS, ITEMS)
@@ -83,13 +83,73 @@ def test_near_duplicates_repeated_rows(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == near_classes(TEXTS)
 
 
+def row_classes(rows):
+    """Near classes of rows (doc_id, text), each by its own text: the smallest id of each row's class."""
+    have = [(i, t) for i, t in rows if i is not None]
+    found = near_classes([t for _, t in have])
+    least = {}
+    for k, (i, _) in enumerate(have):
+        label = found[k * 7 + 3][1]
+        least[label] = min(i, least.get(label, i))
+    return sorted(((i, found[k * 7 + 3][0], least[found[k * 7 + 3][1]], i == least[found[k * 7 + 3][1]]) for k, (i, _) in enumerate(have)), key=str)
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = prose(90), prose(90), prose(80)
+    rows = [(1, a), (5, a), (5, b), (5, b), (2, b + " more"), (7, c), (7, None), (3, c), (None, a), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op8.near_duplicates(docs).collect()
+    assert sorted((tuple(r) for r in got if r.doc_id is not None), key=str) == row_classes(rows)
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
+    cleaned = [tuple(r) for r in op10.substring_dedup(docs).collect()]
+    assert sorted(cleaned, key=str) == sorted(row_removals(rows), key=str)
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    hit = sorted((tuple(r)[:3] for r in op2.decontaminate(docs, bench).collect()), key=str)
+    assert hit == sorted(((i, len(WORD.findall(lower(t))), contamination([t], [(1, a)])[3][1]) for i, t in rows), key=str)
+
+
+def row_removals(rows, window=50):
+    """What op10 leaves of rows (doc_id, text): windows of rows with a smaller id go."""
+    split, least = [words(t) for _, t in rows], {}
+    for (i, _), w in zip(rows, split):
+        for p in range(len(w) - window + 1):
+            if i is not None:
+                least[tuple(w[p : p + window])] = min(i, least.get(tuple(w[p : p + window]), i))
+    out = []
+    for (i, _), w in zip(rows, split):
+        gone = {q for p in range(len(w) - window + 1) if i is not None and least[tuple(w[p : p + window])] < i for q in range(p, p + window)}
+        out.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return out
+
+
+def test_recall_of_similar_pairs(spark):
+    """Pairs at similarity 0.85 to 0.9, exact count, are all found."""
+    rng = np.random.default_rng(4)
+    texts, pairs = [], 0
+    for k in range(60):
+        w = [f"t{k}x{rng.integers(0, 10**6)}" for _ in range(200)]
+        edited = [("new" if at % 60 == 30 else x) for at, x in enumerate(w)]  # 3 edits: 15 of 196 shingles each side
+        texts += [" ".join(w), " ".join(edited)]
+    want = near_classes(texts)
+    pairs = sum(not x[2] for x in want.values())
+    got = {r.doc_id: tuple(r)[1:] for r in op8.near_duplicates(documents(spark, texts)).collect()}
+    assert pairs == 60 and got == want
+
+
+def test_a_bucket_of_several_blocks_is_linked_whole(spark):
+    base = [f"word{k}" for k in range(120)]
+    texts = [" ".join([*base[:at], f"edit{at}", *base[at + 1 :]]) for at in range(0, 120, 3)] + [" ".join(f"lone{k}x{j}" for j in range(60)) for k in range(5)]
+    got = {r.doc_id: tuple(r)[1:] for r in op8.near_duplicates(documents(spark, texts), unit=6).collect()}
+    assert got == near_classes(texts)
+
+
 def test_links_keep_the_classes_of_all_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**62, 60).astype(np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(base, 50, replace=False), rng.integers(0, 2**62, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(60)]
     label = list(range(60))
     want = list(range(60))
-    for a, b in op8.links(sets):
+    for a, b in op8.links(sets, np.zeros((60, op8.BANDS), np.uint32)):
         low, high = sorted((label[a], label[b]))
         label = [low if x == high else x for x in label]
     for a in range(60):
