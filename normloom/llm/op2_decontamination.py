@@ -87,16 +87,17 @@ def _grams(h: Column, n: Column | int) -> Column:
 
 
 def _minima(worded: DataFrame) -> DataFrame:
-    """worded (with words and their hashes h, `WINDOW` at least) with its k-grams g and the minima of SPAN of them, m."""
+    """worded (with words and their hashes h) with its k-grams g and the minima of SPAN of them, m."""
     # k-grams from hashes of two words, each read three times
     pairs = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
-    grams = F.transform(F.slice("two", 1, F.size("two") - GRAM + 1), lambda x, i: F.xxhash64(x, F.get("two", i + 2), F.get("two", i + 4)))
+    whole = F.slice("two", 1, F.greatest(F.size("two") - GRAM + 1, F.lit(0)))
+    grams = F.transform(whole, lambda x, i: F.xxhash64(x, F.get("two", i + 2), F.get("two", i + 4)))
     df, last = worded.withColumn("two", pairs).withColumn("g", grams).drop("two"), "g"
     for name, step in _doubled("g", SPAN, True, "low"):
         df = df.withColumn(name, step)
         last = name
     # a minimum over fewer than SPAN k-grams, at the end, is of no window
-    return df.withColumn("m", F.slice(last, 1, F.size("g") - SPAN + 1))
+    return df.withColumn("m", F.slice(last, 1, F.greatest(F.size("g") - SPAN + 1, F.lit(0))))
 
 
 def hashed(rows: DataFrame) -> DataFrame:
@@ -104,14 +105,15 @@ def hashed(rows: DataFrame) -> DataFrame:
 
 
 def prints_of(rows: DataFrame, key: list[str], lengths: list[int]) -> DataFrame:
-    """(key, print): the distinct fingerprints of each row's words."""
-    found = _minima(hashed(rows.where(F.size("words") >= WINDOW))).select(*key, "h", F.array_distinct("m").alias("prints"))
-    if lengths:
-        # texts of any length have runs of the short items' lengths
-        none = F.array().cast("array<bigint>")
-        short = hashed(rows).select(*key, "words", F.concat(*(F.when(F.size("h") >= n, _grams(F.col("h"), n)).otherwise(none) for n in lengths)).alias("prints"))
-        found = found.select(*key, "prints").unionByName(short.select(*key, F.array_distinct("prints").alias("prints")))
-    return found.select(*key, F.explode("prints").alias("print"))
+    """(key, print): the distinct fingerprints of each row's words, and of its runs of the given lengths.
+
+    Generators are outer ones here: from others, Spark infers a filter on the
+    array and computes that a second time, words and all, below.
+    """
+    none = F.array().cast("array<bigint>")
+    short = [F.when(F.size("h") >= n, _grams(F.col("h"), n)).otherwise(none) for n in lengths]
+    found = _minima(hashed(rows)).select(*key, F.array_distinct(F.concat("m", *short)).alias("prints"))
+    return found.select(*key, F.explode_outer("prints").alias("print")).where("print is not null")
 
 
 def fingerprints(worded: DataFrame, key: list[str]) -> DataFrame:
@@ -119,9 +121,9 @@ def fingerprints(worded: DataFrame, key: list[str]) -> DataFrame:
 
     worded: key, words.  `around` starts at word `from_`.
     """
-    df = _minima(hashed(worded.where(F.size("words") >= WINDOW)))
+    df = _minima(hashed(worded))
     # k-gram i is kept if it is the minimum of a window that has it: one that starts at i - SPAN + 1 .. i
-    df = df.select(*key, "words", "g", F.concat("m", F.array_repeat(F.element_at("m", -1), SPAN - 1)).alias("m"))
+    df = df.select(*key, "words", "g", F.concat("m", F.array_repeat(F.try_element_at("m", F.lit(-1)), SPAN - 1)).alias("m"))
     last = "m"
     for name, step in _doubled("m", SPAN, False, "high"):
         df = df.withColumn(name, step)
@@ -131,7 +133,7 @@ def fingerprints(worded: DataFrame, key: list[str]) -> DataFrame:
     g, w = F.col("g"), F.col("words")
     reach = WINDOW - GRAM
     rows = F.transform(marks, lambda i: F.struct(i.alias("at"), F.get(g, i).alias("print"), F.greatest(i - reach, F.lit(0)).alias("from_"), F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + WINDOW).alias("around")))
-    return df.select(*key, F.inline(rows))
+    return df.select(*key, F.inline_outer(rows))
 
 
 def windows_around(hits: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def windows_around(hits: DataFrame) -> DataFrame:
     around, base, at = F.col("around"), F.col("from_"), F.col("at") - F.col("from_")
     starts = F.filter(F.sequence(at - (WINDOW - GRAM), at), lambda i: (i >= 0) & (i + WINDOW <= F.size(around)))
     rows = F.transform(starts, lambda i: F.struct((base + i).alias("start"), F.lit(WINDOW).alias("length"), F.array_join(F.slice(around, i + 1, WINDOW), " ").alias("window")))
-    return hits.select(*KEY, F.inline(rows)).distinct()
+    return hits.select(*KEY, F.inline_outer(rows)).where("window is not null").distinct()
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +179,8 @@ def hit_windows(documents: DataFrame, windows: DataFrame, items: DataFrame) -> D
     long_ = windows_around(_met(fingerprints(again, KEY), prints, ["print"]))
     for n in lengths:
         starts = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice("words", i + 1, n), " ").alias("window")))  # noqa: B023
-        long_ = long_.unionByName(again.where(F.size("words") >= n).select(*KEY, F.inline(starts)))
+        starts = F.when(F.size("words") >= n, starts)
+        long_ = long_.unionByName(again.select(*KEY, F.inline_outer(starts)).where("window is not null"))
     return _met(long_, windows, ["window", "length"]).select(*KEY, "start", "length", "items").distinct()
 
 
