@@ -12,15 +12,21 @@ train them give the probability of each decoded span, and spans over
 `CONFIDENCE` that touch no base span are added.  The CRF also knows secrets
 (access keys, tokens, passwords), which no base pattern covers.
 
+Patterns are read off maximal runs and the dynamic program goes over a region of
+any length in pieces that carry its state, so time is linear in a text and
+memory in its tokens; nothing is cut at a piece's end.
+
 Offsets are code points, ends exclusive.  Edge cases: a null or empty text has
-no spans; texts of any length are whole; repeated rows each get a row; other
-columns are ignored.
+no spans and stays as it is when masked; texts of any length are whole; repeated
+rows and ids each get a row, a null id stays null; an empty table gives an empty
+result; `find` ignores other columns, `mask` keeps them.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,12 +43,16 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Runs that hold all matches of two of them: what may follow an at sign, and numbers joined by dots.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Tokens of an entity at most.
 LONGEST = 6
 #: Probability from which a decoded span that is not a base span is added.
 CONFIDENCE = 0.9
-#: Tokens of a region that one dynamic program reads; longer regions are cut where tokens have no sign.
-REGION = 400
+#: Tokens whose segments are scored at once.
+PIECE = 2000
 
 _SIGN = re.compile(r"[0-9@]")
 _EDGE = "\"'`()[]{}<>,;:!?"
@@ -71,14 +81,34 @@ def _phone_ok(text: str) -> bool:
     return 8 <= sum(c in "0123456789" for c in text) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers joined by dots, four by four from the left."""
+    for m in _NUMBERS.finditer(text):
+        if m.group().count(".") >= 3:
+            ends = [x.end() for x in re.finditer("[0-9]+", m.group())]
+            starts = [0, *(e + 1 for e in ends[:-1])]
+            for k in range(0, len(ends) - 3, 4):
+                yield m.start() + starts[k], m.start() + ends[k + 3]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the exact patterns, by kind, then start."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out = [(0, a, b) for a, b in _emails(text)]
     if not _SIGN.search(text):
         return out
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if _ip_ok(m.group())]
+    out += [(1, a, b) for a, b in _addresses(text) if _ip_ok(text[a:b])]
     out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if _card_ok(m.group())]
     if "+" in text:
         out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if _phone_ok(m.group())]
@@ -135,6 +165,15 @@ def segment_features(span: str, before: str, tokens: int) -> np.ndarray:
     return f
 
 
+def words_before(tokens: list[str]) -> list[str]:
+    """For each token the last one before it that is no mark."""
+    out, last = [], ""
+    for t in tokens:
+        out.append(last)
+        last = last if t in _EDGE + "=" else t
+    return out
+
+
 class Field:
     """Weights of each kind (and of single plain tokens) over segment features."""
 
@@ -142,17 +181,18 @@ class Field:
         self.weights = weights
 
     @staticmethod
-    def lattice(tokens: list[str], gaps: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """All segments (start, end) of a region, and their features."""
+    def lattice(tokens: list[str], gaps: list[str], low: int = 0, high: int | None = None, before: list[str] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """All segments (start, end) that start in a part of a region, and their features; before: words_before of it."""
         spans, rows = [], []
-        for i in range(len(tokens)):
+        before = words_before(tokens) if before is None else before
+        for i in range(low, len(tokens) if high is None else high):
             text = ""
             for j in range(i, min(i + LONGEST, len(tokens))):
                 text += (gaps[j] if j > i else "") + tokens[j]
                 if j > i and gaps[j] not in ("", " ", "-", "="):
                     break
                 spans.append((i, j + 1))
-                rows.append(segment_features(text, next((t for t in reversed(tokens[:i]) if t not in _EDGE + "="), ""), j + 1 - i))
+                rows.append(segment_features(text, before[i], j + 1 - i))
         return spans, np.array(rows)
 
     def scores(self, spans: list[tuple[int, int]], rows: np.ndarray) -> np.ndarray:
@@ -175,21 +215,40 @@ class Field:
         at = np.array([forward[a] + backward[b] for a, b in spans])
         return np.exp(s + at[:, None] - forward[n]), float(forward[n])
 
-    def decode(self, n: int, spans: list[tuple[int, int]], s: np.ndarray) -> list[tuple[int, int]]:
-        """(segment index, kind) of the best segmentation's entities."""
-        best, back = np.full(n + 1, -np.inf), [(-1, -1)] * (n + 1)
-        best[0] = 0
-        top = s.argmax(axis=1)
-        for k, (a, b) in enumerate(spans):
-            if best[a] + s[k, top[k]] > best[b]:
-                best[b], back[b] = best[a] + s[k, top[k]], (k, int(top[k]))
+    def decode(self, tokens: list[str], gaps: list[str]) -> list[tuple[int, int, int, float]]:
+        """(start, end, kind, probability) of the entities of the best segmentation."""
+        n = len(tokens)
+        best, forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        start, kind, gain = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int8), np.zeros(n + 1)
+        best[0] = forward[0] = backward[n] = 0
+        before = words_before(tokens)
+        pieces = [(low, min(low + PIECE, n)) for low in range(0, n, PIECE)]
+
+        def scored(low: int, high: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+            spans, rows = self.lattice(tokens, gaps, low, high, before)
+            s = self.scores(spans, rows)
+            return spans, s, np.logaddexp.reduce(s, axis=1)
+
+        kept = None
+        for low, high in pieces:
+            kept = spans, s, whole = scored(low, high)
+            top = s.argmax(axis=1)
+            for (a, b), k, x, w in zip(spans, top.tolist(), s[np.arange(len(s)), top].tolist(), whole.tolist()):
+                forward[b] = np.logaddexp(forward[b], forward[a] + w)
+                if best[a] + x > best[b]:
+                    best[b], start[b], kind[b], gain[b] = best[a] + x, a, k, x
         out, at = [], n
         while at:
-            k, kind = back[at]
-            if kind < len(KINDS):
-                out.append((k, kind))
-            at = spans[k][0]
-        return out[::-1]
+            if kind[at] < len(KINDS):
+                out.append((int(start[at]), at, int(kind[at]), gain[at]))
+            at = int(start[at])
+        if not out:
+            return []
+        for low, high in reversed(pieces):
+            spans, _, whole = kept if len(pieces) == 1 else scored(low, high)
+            for (a, b), w in zip(reversed(spans), whole[::-1].tolist()):
+                backward[a] = np.logaddexp(backward[a], backward[b] + w)
+        return [(a, b, k, float(np.exp(forward[a] + x + backward[b] - forward[n]))) for a, b, k, x in reversed(out)]
 
 
 def split(text: str, start: int, end: int) -> tuple[list[str], list[str], list[int]]:
@@ -286,9 +345,8 @@ def field() -> Field:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of tokens near a digit or an at sign, with the two tokens before."""
+    """Runs of tokens with a digit or an at sign, with the two tokens before."""
     begin = end = -1
-    count = 0
     for m in _SIGN.finditer(text):
         if m.start() < end:
             continue
@@ -298,11 +356,10 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
         b = m.end()
         while b < len(text) and not text[b].isspace():
             b += 1
-        near = begin >= 0 and not text[end:a].strip() and count < REGION
-        if not near:
+        if begin < 0 or text[end:a].strip():
             if begin >= 0:
                 yield begin, end
-            begin, count = a, 0
+            begin = a
             for _ in range(2):  # two tokens of context, not into the region before
                 c = begin
                 while c and text[c - 1].isspace():
@@ -313,7 +370,6 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
                     break
                 begin = c
         end = b
-        count += 1
     if begin >= 0:
         yield begin, end
 
@@ -321,25 +377,19 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Field) -> list[tuple[int, int, int]]:
     """Confident spans of the field that touch no base span."""
     out = []
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []  # base spans, overlapping ones as one
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     for start, end in regions(text):
         tokens, gaps, at = split(text, start, end)
-        if not any(len(t) >= 8 for t in tokens) and len(tokens) < 4:
-            continue
-        for low in range(0, len(tokens), REGION):
-            part = slice(low, low + REGION)
-            own, between, places = tokens[part], gaps[part], at[part]
-            segments, rows = Field.lattice(own, between)
-            s = model.scores(segments, rows)
-            chosen = model.decode(len(own), segments, s)
-            if not chosen:
-                continue
-            p, _ = model.marginals(len(own), segments, s)
-            for k, kind in chosen:
-                i, j = segments[k]
-                a, b = places[i], places[j - 1] + len(own[j - 1])
-                if p[k, kind] >= CONFIDENCE and not any(x < b and a < y for x, y in taken):
-                    out.append((kind, a, b))
+        for i, j, kind, p in model.decode(tokens, gaps):
+            a, b = at[i], at[j - 1] + len(tokens[j - 1])
+            k = bisect_left(taken, (b, 0)) - 1  # the last that starts before b
+            if p >= CONFIDENCE and (k < 0 or taken[k][1] <= a):
+                out.append((kind, a, b))
     return out
 
 

@@ -1,18 +1,25 @@
 """Quality rules with risk-controlled thresholds.
 
 Exact rules reject a text of fewer than 20 words or with over 30 % of its words
-in repeated 8-word windows.  Further rules are cutoffs on document statistics.
-A cutoff is taken from a fixed grid by learn-then-test: on the labelled rows of
-a stratum (one of the most labelled languages, or all others), the exact (Clopper-Pearson) upper bound of the share of
-good documents that the cutoff rejects must stay within `risk`, at a confidence
-that is Bonferroni-corrected for every (stratum, rule, cutoff) tested.  The
-bound of each rule is its share of `risk`, so all rules together keep it.  The
-most rejecting cutoff that passes is used; a stratum with too few labels to
-prove any cutoff has none and keeps everything that passes the exact rules.
+in repeated 8-word windows.  Further rules are cutoffs on document statistics,
+taken from fixed grids.  They are chosen for each stratum (one of the most
+labelled languages, or all others) by learn-then-test.  Its good labelled rows
+are halved by a hash of their id.  On the first half a path is laid from no
+cutoff to stricter and stricter ones: each step tightens the rule that rejects
+the fewest good documents with it, until over `AIM` of `risk` is used.  On the
+second half the steps are tested in that order: the exact (Clopper-Pearson)
+upper bound of the share of good documents that all cutoffs together reject
+must stay within `risk`.  The first step that fails ends the tests, so a path
+needs one error probability for all its steps, and the correction for multiple
+tests (Bonferroni) is one for strata only.  The last step that passes is used;
+a stratum with too few labels to prove any keeps everything that passes the
+exact rules.
 
 Edge cases: a null or empty text has no words and is rejected; a null language
-is a stratum of its own; repeated rows each get a row; other columns are
-ignored; with an empty label table only the exact rules hold.
+is a stratum of its own; texts of any length are whole; repeated rows and ids
+each get a row, a label counts for every row of its id; a null id has no label;
+an empty table gives an empty result; other columns are ignored, and kept by
+`kept_documents`; with an empty label table only the exact rules hold.
 """
 
 from __future__ import annotations
@@ -26,18 +33,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from normloom.llm import docstats, textvec
-from normloom.llm.common import cut, map_text, table
+from normloom.llm.common import BROADCAST_ROWS, cut, map_text, table
 
 #: Greatest share of good documents of a stratum that learned cutoffs may reject.
 RISK = 0.02
 #: Chance that any of the bounds is wrong.
 DELTA = 0.05
+#: Share of `risk` that the path may use on the half of the labels that it is laid on.
+AIM = 0.25
 #: Strata are the most labelled languages, so many at most; the rest are pooled.
 STRATA = 64
 #: The stratum of all other languages.
 POOLED = ("pooled",)
 Stratum = str | None | tuple[str]
-#: Rule: numerator, denominator and cutoffs tested, from the mildest to the strictest.
+#: What a stratum rejects: the level of each rule's cutoff, 0 for none, 1 for the mildest.
+Levels = dict[str, int]
+#: Rule: numerator, denominator and cutoffs, from the mildest to the strictest.
 RULES = {
     "symbols": ("n_symbols", "word_chars", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08]),
     "dup_lines": ("n_dup_lines", "n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]),
@@ -95,9 +106,22 @@ def with_statistics(documents: DataFrame) -> DataFrame:
     return map_text(documents, work, schema)
 
 
+def labelled_statistics(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Statistics of the documents with a good label, each once a row.
+
+    While the good ids are few enough to broadcast, only their texts are read
+    for it; beyond, all statistics are taken and joined, not the texts.
+    """
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
+    is_good = F.col("doc_id").cast("long") == F.col("good_id")
+    if good.count() <= BROADCAST_ROWS:
+        return document_statistics(documents.join(F.broadcast(good), is_good, "left_semi"))
+    return document_statistics(documents).join(good, is_good, "left_semi")
+
+
 def kept_documents(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The documents that the rules keep, with their own columns, judged in one more scan without a join."""
-    chosen = learn(cut(document_statistics(documents)), labels, risk, delta)
+    """The documents that the rules keep, with their own columns, judged in one scan without a join."""
+    chosen = learn(labelled_statistics(documents, labels), risk, delta)
     marked = with_statistics(documents)
     judged = apply(marked.select(F.struct(*documents.columns).alias("own"), F.col("lang").cast("string").alias("lang"), "stats_.*"), chosen)
     return judged.where("kept").select("own.*")
@@ -114,44 +138,66 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def learn(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[Stratum, str], int | None]:
-    """(stratum, rule) -> index of the chosen cutoff in the rule's grid, None if none is proved.
+def _rejected(steps: np.ndarray, levels: Levels) -> np.ndarray:
+    """Which rows (cutoffs exceeded, a column a rule) the levels reject."""
+    out = np.zeros(len(steps), bool)
+    for k, rule in enumerate(RULES):
+        if levels[rule]:
+            out |= steps[:, k] > len(RULES[rule][2]) - levels[rule]
+    return out
+
+
+def path(steps: np.ndarray, counts: np.ndarray, most: float) -> list[Levels]:
+    """Stricter and stricter levels, each a step of one rule from those before, that reject `most` rows at most."""
+    now, out = dict.fromkeys(RULES, 0), []
+    while True:
+        tries = [now | {rule: now[rule] + 1} for rule in RULES if now[rule] < len(RULES[rule][2])]
+        lost = [(int(counts[_rejected(steps, x)].sum()), sum(x.values()) and max(x.values()), k) for k, x in enumerate(tries)]
+        if not lost or min(lost)[0] > most:
+            return out
+        now = tries[min(lost)[2]]
+        out.append(now)
+
+
+def learn(stats: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[Stratum, Levels]:
+    """The proved levels of each stratum; stats: those of good labelled rows.
 
-    What reaches the driver is a count for each stratum, rule and grid step.
+    What reaches the driver is a count for each stratum, half and combination
+    of cutoffs exceeded, whose number the grids bound.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("good_id")).distinct()
-    held = stats.where(~base_failed()).join(good, F.col("doc_id") == F.col("good_id"))
-    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _beyond(r).alias("step")) for r in RULES)))
-    counted = held.select("lang", steps.alias("s")).groupBy("lang", "s.rule", "s.step").agg(F.count("*").alias("n"))
+    rules = list(RULES)
+    held = stats.where(~base_failed()).select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), *(_beyond(r).alias(r) for r in rules))
+    counted = cut(held.groupBy("lang", "half", *rules).agg(F.count("*").alias("n")))
     sizes = counted.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(STRATA)
     strata = [r["lang"] for r in sizes.collect()]
     named = [x for x in strata if x is not None]
     own = F.coalesce(F.col("lang").isin(named), F.lit(None in strata))
-    rows = counted.groupBy(F.when(own, F.col("lang")).alias("lang"), own.alias("own"), "rule", "step").agg(F.sum("n").alias("n")).collect()
-    table_ = {}
+    rows = counted.groupBy(F.when(own, F.col("lang")).alias("lang"), own.alias("own"), "half", *rules).agg(F.sum("n").alias("n")).collect()
+    grouped: dict[Stratum, list] = {}
     for r in rows:
-        table_.setdefault((r["lang"] if r["own"] else POOLED, r["rule"]), np.zeros(len(RULES[r["rule"]][2]) + 1, np.int64))[r["step"]] += r["n"]
-    tests = max(1, len({k[0] for k in table_})) * sum(len(c) for _, _, c in RULES.values())
+        grouped.setdefault(r["lang"] if r["own"] else POOLED, []).append([r["half"], r["n"], *(r[x] for x in rules)])
     chosen = {}
-    for (lang, rule), counts in table_.items():
-        n = int(counts.sum())
-        chosen[lang, rule] = None
-        for step in range(len(RULES[rule][2])):  # mildest first; stop at the first that fails
-            if upper_bound(int(counts[step + 1 :].sum()), n, delta / tests) > risk / len(RULES):
+    for stratum, found in grouped.items():
+        table_ = np.array(found, np.int64)
+        first, second = table_[table_[:, 0] == 0], table_[table_[:, 0] == 1]
+        chosen[stratum] = dict.fromkeys(RULES, 0)
+        n = int(second[:, 1].sum())
+        for levels in path(first[:, 2:], first[:, 1], AIM * risk * first[:, 1].sum()) if n else []:
+            if upper_bound(int(second[_rejected(second[:, 2:], levels), 1].sum()), n, delta / len(grouped)) > risk:
                 break
-            chosen[lang, rule] = step
+            chosen[stratum] = levels
     return chosen
 
 
-def apply(stats: DataFrame, chosen: dict[tuple[Stratum, str], int | None]) -> DataFrame:
+def apply(stats: DataFrame, chosen: dict[Stratum, Levels]) -> DataFrame:
     """Add base_failed, rejected_by and kept."""
     hits = []
     for rule in RULES:
-        limits = {lang: None if step is None else step + 1 for (lang, name), step in chosen.items() if name == rule}
-        if any(x is not None for x in limits.values()):
-            limit = F.lit(limits.pop(POOLED, None)).cast("int")
-            for lang, least in sorted(limits.items(), key=str):
-                limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(least).cast("int")).otherwise(limit)
+        limits = {lang: len(RULES[rule][2]) + 1 - x[rule] for lang, x in chosen.items() if x[rule]}
+        if limits:
+            limit = F.lit(limits.get(POOLED)).cast("int")
+            for lang in sorted((x for x in chosen if x != POOLED), key=str):
+                limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(limits.get(lang)).cast("int")).otherwise(limit)
             hits.append(F.when(_beyond(rule) >= limit, F.lit(rule)))
     by = F.concat_ws(",", *hits) if hits else F.lit("")
     out = stats.withColumn("base_failed", base_failed()).withColumn("rejected_by", by)
@@ -160,8 +206,7 @@ def apply(stats: DataFrame, chosen: dict[tuple[Stratum, str], int | None]) -> Da
 
 def quality_rules(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """doc_id, statistics, base_failed, rejected_by, kept for each document."""
-    stats = cut(document_statistics(documents))  # a few numbers a document, read twice
-    return apply(stats, learn(stats, labels, risk, delta))
+    return apply(document_statistics(documents), learn(labelled_statistics(documents, labels), risk, delta))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
