@@ -102,7 +102,7 @@ def test_learned_queries_on_awkward_texts(spark, texts):
     labels = spark.createDataFrame([(3, 1, 0, "x"), (3, 1, 0, "x"), (45, 0, 1, "y"), (None, 1, 1, None), (52, None, None, None)], "doc_id long, quality int, toxic int, score string")
     assert op6.quality_rules(docs, labels).count() == len(texts)
     assert op5.quality_scores(docs, labels).where("score between 0 and 1").count() == len(texts)
-    assert op4.toxicity_scores(docs, op4.learn(docs, labels)).where("score between 0 and 1").count() == len(texts)
+    assert op4.judged(docs, op4.learn(docs, labels)).where("score between 0 and 1").count() == len(texts)
     assert op3.find(docs).count() == len(texts)
     assert op3.mask(docs).columns == docs.columns and op3.mask(docs).count() == len(texts)
 
@@ -118,16 +118,47 @@ def test_classifiers_on_held_out_rows(spark):
     assert docs.count() == op4.op4_toxicity(spark, DATA).count()
 
 
-def test_noisy_or_finds_the_sentence():
+def _toxic_corpus(n=300):
     rng = random.Random(2)
-    texts = [". ".join(prose(8, rng) for _ in range(6)) for _ in range(300)]
-    toxic = np.array([k % 4 == 0 for k in range(300)], int)
-    texts = [t.replace(". ", ". you awful thing ", 1) if y else t for t, y in zip(texts, toxic)]
-    model = op4.fit(texts, toxic)
+    texts = [". ".join(prose(8, rng) for _ in range(6)) for _ in range(n)]
+    toxic = [k % 4 == 0 for k in range(n)]
+    return [t.replace(". ", ". you awful thing ", 1) if y else t for t, y in zip(texts, toxic)], toxic
+
+
+def test_noisy_or_finds_the_sentence(spark):
+    texts, toxic = _toxic_corpus()
+    rows = [(k, t, int(y)) for k, (t, y) in enumerate(zip(texts, toxic))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = op4.learn(docs, docs.select("doc_id", "toxic"))
     assert model.score("what an awful day. " + texts[1]) > 0.7 > model.score(texts[1])
     (start, end, _), *_ = sorted(model.scored(texts[0]), key=lambda s: -s[2])
     assert "awful" in texts[0][start:end]
     assert model.score("") == pytest.approx(op4.LEAK)
+    for r in op4.judged(docs, model).collect():
+        harmless, spans, at = 1 - op4.LEAK, [], 0
+        for sentence in re.split(r"([.!?\n]+)", texts[r.doc_id]):  # the noisy-or written out
+            weights = [model.weights[x] for w in re.findall(r"[^\W\d_]+", sentence.lower()) for x in op4.signs(w) if x in model.weights]
+            p = 1 / (1 + np.exp(-(sum(weights) + model.bias))) if weights else 0
+            harmless *= 1 - p
+            spans += [f"{at}:{at + len(sentence)}"] if p >= 0.5 else []
+            at += len(sentence)
+        assert r.score == pytest.approx(1 - harmless) and r.spans == ",".join(spans)
+        assert bool(spans) == toxic[r.doc_id]
+
+
+def test_counts_and_rows_of_the_fit(spark):
+    """Signs are counted once a row, rows of one id by their texts, and the bound takes whole rows in a fixed order."""
+    texts, toxic = _toxic_corpus(80)
+    rows = [(k // 2, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:30] + [(None, "awful"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(toxic[2 * k])) for k in range(40)] + [(None, 1)], "doc_id long, toxic int")
+    taken = op4.sample_of(docs, labels).collect()
+    fold = {r.doc_id for r in labels.where(~op4.held_out(3, 1)).select("doc_id").collect()} - {None}
+    assert sorted(r.text for r in taken) == sorted([t for i, t in rows if i in fold] + [""] * (3 in fold))
+    assert len(op4.sample_of(docs, labels, 7).collect()) == 7
+    again = op4.learn(docs.repartition(7), labels)
+    assert again.weights == pytest.approx(op4.learn(docs, labels).weights) and again.weights
+    assert op4.learn(docs, labels, entries=10).weights != again.weights
 
 
 def test_discriminant_separates_and_needs_both_classes():
