@@ -13,8 +13,9 @@ which is checked when it is loaded, so the best path of a text is that of its
 space-led units one after another.  Counts of units are kept by 128-bit key:
 the bytes themselves up to 15, a BLAKE2b digest beyond.
 
-Edge cases: a null or empty text has 0 tokens; units of any length are whole;
-repeated rows each get a row; other columns are ignored.
+Edge cases: a null or empty text has 0 tokens; units and texts of any length are
+whole; repeated rows and ids each get a row, a null id stays null; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -191,7 +191,7 @@ def covered(spans: Column) -> Column:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids, comma-joined), contaminated of each document."""
+    """doc_id, own (xxhash64 of the text), n_words, n_hit, n_items, items (sorted ids, comma-joined), contaminated of each document."""
     windows, items = benchmark_windows(benchmark)
     rows = rows_of(documents)
     hits = cut(hit_windows(rows, windows, items))
@@ -201,6 +201,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
+        "own",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

@@ -10,9 +10,12 @@ Labels are learned from rows with crc32(doc_id as text) mod 4 <> 2 only, at most
 `SAMPLE` of them, those with the smallest hash of their id; statistics and
 scores cover every text whole.  Labels, language, source and id are no inputs.
 
-Edge cases: a null or empty text has all statistics 0 and a score; repeated
-rows each get a row; duplicate labels of an id count once; without labels of
-both classes every score is 0.5; other columns are ignored.
+Edge cases: a null or empty text has all statistics 0 and a score; texts of any
+length are whole; repeated rows and ids each get a row, and rows of one id count
+each in the fit, in an order that their statistics fix; a null id has no label;
+duplicate labels of an id count once, the greater one; without labels of both
+classes every score is 0.5; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +127,7 @@ def held_out(modulus: int, remainder: int) -> F.Column:
 def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminant | None:
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
     rows = stats.where(~held_out(4, 2)).join(marked, F.col("doc_id") == F.col("label_id")).withColumn("order", F.xxhash64("doc_id"))
-    got = rows.orderBy("order", "doc_id").limit(sample).select("quality", *docstats.COLUMNS).toPandas()
+    got = rows.orderBy("order", "doc_id", *docstats.COLUMNS).limit(sample).select("quality", *docstats.COLUMNS).toPandas()
     return fit(features({c: got[c].to_numpy() for c in docstats.COLUMNS}), got["quality"].to_numpy()) if len(got) else None
 
 

@@ -14,8 +14,9 @@ piece is taken for another.  New pieces are merged side by side in matrices.
 back into bytes by table.
 
 Edge cases: a null or empty text has no tokens; texts of any length are whole;
-long pieces are merged with a heap in n log n steps; repeated rows
-each get a row; other columns are ignored.
+long pieces are merged with a heap in n log n steps; repeated rows and ids each
+get a row, a null id stays null; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations

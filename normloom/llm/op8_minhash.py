@@ -230,7 +230,7 @@ def stray_units(members: DataFrame, edges: DataFrame, unit: int) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT, unit: int = UNIT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
+    """doc_id, own (xxhash64 of the text), n_shingles, component_id and kept of each document."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("own", F.xxhash64("text"))
     sketched = cut(sketches(texts))
     grouped = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "own")).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
@@ -262,10 +262,10 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, unit: int = UN
     joined = cut(joined.select("digest", F.coalesce("component", "member").alias("component"), F.col("rep.doc_id").alias("doc_id")))
     least = cut(joined.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
     named = cut(skew_join(joined, least, ["component"]).select(F.col("digest").alias("own_digest"), "component_id"))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(small(named), F.col("digest") == F.col("own_digest"), "left")
+    out = sketched.select("doc_id", "own", "n_shingles", "digest").join(small(named), F.col("digest") == F.col("own_digest"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "own", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("own")

@@ -43,14 +43,14 @@ ITEMS = [(1, PASSAGE), (2, None), (3, "..."), (10, "one two"), (11, " ".join(LON
 @pytest.mark.parametrize("items", [ITEMS, [], [(5, "")], [(1, PASSAGE)]])
 def test_decontamination(spark, texts, items):
     bench = spark.createDataFrame([(i, t, "clash", 0) for i, t in items], "item_id long, text string, words string, hit_id int")
-    got = {r.doc_id: tuple(r)[1:] for r in op2.decontaminate(documents(spark, texts), bench).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in op2.decontaminate(documents(spark, texts), bench).drop("own").collect()}
     assert got == contamination(texts, items)
 
 
 def test_decontamination_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(op2, "TOLD", -1)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in op2.decontaminate(documents(spark), bench).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in op2.decontaminate(documents(spark), bench).drop("own").collect()}
     assert got == contamination(TEXTS, ITEMS)
 
 
@@ -72,13 +72,13 @@ def near_classes(texts):
 @pytest.mark.parametrize("texts", [TEXTS, [], [None, "", " "]])
 @pytest.mark.parametrize("unit", [2000, 4])
 def test_near_duplicates(spark, texts, unit):
-    got = {r.doc_id: tuple(r)[1:] for r in op8.near_duplicates(documents(spark, texts), unit=unit).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in op8.near_duplicates(documents(spark, texts), unit=unit).drop("own").collect()}
     assert got == near_classes(texts)
 
 
 def test_near_duplicates_repeated_rows(spark):
     docs = documents(spark)
-    got = op8.near_duplicates(docs.unionByName(docs)).collect()
+    got = op8.near_duplicates(docs.unionByName(docs)).drop("own").collect()
     assert len(got) == 2 * len(TEXTS)
     assert {r.doc_id: tuple(r)[1:] for r in got} == near_classes(TEXTS)
 
@@ -98,13 +98,13 @@ def test_rows_that_share_an_id(spark):
     a, b, c = prose(90), prose(90), prose(80)
     rows = [(1, a), (5, a), (5, b), (5, b), (2, b + " more"), (7, c), (7, None), (3, c), (None, a), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = op8.near_duplicates(docs).collect()
+    got = op8.near_duplicates(docs).drop("own").collect()
     assert sorted((tuple(r) for r in got if r.doc_id is not None), key=str) == row_classes(rows)
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
     cleaned = [tuple(r) for r in op10.substring_dedup(docs).collect()]
     assert sorted(cleaned, key=str) == sorted(row_removals(rows), key=str)
     bench = spark.createDataFrame([(1, a)], "item_id long, text string")
-    hit = sorted((tuple(r)[:3] for r in op2.decontaminate(docs, bench).collect()), key=str)
+    hit = sorted((tuple(r)[:3] for r in op2.decontaminate(docs, bench).drop("own").collect()), key=str)
     assert hit == sorted(((i, len(WORD.findall(lower(t))), contamination([t], [(1, a)])[3][1]) for i, t in rows), key=str)
 
 
@@ -132,14 +132,14 @@ def test_recall_of_similar_pairs(spark):
         texts += [" ".join(w), " ".join(edited)]
     want = near_classes(texts)
     pairs = sum(not x[2] for x in want.values())
-    got = {r.doc_id: tuple(r)[1:] for r in op8.near_duplicates(documents(spark, texts)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in op8.near_duplicates(documents(spark, texts)).drop("own").collect()}
     assert pairs == 60 and got == want
 
 
 def test_a_bucket_of_several_blocks_is_linked_whole(spark):
     base = [f"word{k}" for k in range(120)]
     texts = [" ".join([*base[:at], f"edit{at}", *base[at + 1 :]]) for at in range(0, 120, 3)] + [" ".join(f"lone{k}x{j}" for j in range(60)) for k in range(5)]
-    got = {r.doc_id: tuple(r)[1:] for r in op8.near_duplicates(documents(spark, texts), unit=6).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in op8.near_duplicates(documents(spark, texts), unit=6).drop("own").collect()}
     assert got == near_classes(texts)
 
 

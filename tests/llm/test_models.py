@@ -170,6 +170,34 @@ def test_discriminant_separates_and_needs_both_classes():
     assert op5.fit(x, np.ones(160)) is None
 
 
+def test_scores_equal_the_densities_written_out():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (200, 4)) * [1, 2, 3, 4], (rng.random(200) < 0.3).astype(int)
+    x[y == 1] += 1
+    model = op5.fit(x, y)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).sum() * own[c] for c in (0, 1)) / 200
+    density = []
+    for c in (0, 1):
+        s = (1 - op5.POOL) * own[c] + op5.POOL * pooled
+        s = (1 - op5.DIAGONAL) * s + op5.DIAGONAL * np.diag(np.diag(s)) + 1e-3 * np.eye(4)
+        d = z - z[y == c].mean(axis=0)
+        distance = np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d)
+        density.append(np.log((y == c).mean()) - 0.5 * (np.linalg.slogdet(s)[1] + distance))
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(density[0] - density[1])))
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "a b " * 30, "en", 1, 0), (1, "a b " * 30, "en", 1, 0), (1, "c d", "en", 1, 0), (None, "mail me@x.example.org", None, 0, 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, toxic int")
+    labels = docs.select("doc_id", "quality", "toxic")
+    assert sorted((r.doc_id or 0, r.n_words) for r in op6.quality_rules(docs, labels).collect()) == [(0, 0), (0, 2), (1, 2), (1, 60), (1, 60)]
+    assert sorted(r.spans for r in op3.find(docs).collect()) == ["", "", "", "", "email:5:21"]
+    for got in (op5.quality_scores(docs, labels), op4.judged(docs, op4.learn(docs, labels))):
+        assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 0, 1, 1, 1]
+
+
 @pytest.mark.parametrize(
     "text, base",
     [

@@ -37,6 +37,19 @@ def test_near_dedup_links_from_80_percent(spark, tmp_path):
     assert [r.doc_id for r in C.near_dedup(spark, docs, str(tmp_path)).collect()] == [1]
 
 
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    a, b = prose(80), prose(90)
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, None), (6, None), (7, b + " " + PASSAGE), (7, prose(90))]
+    docs = spark.createDataFrame([(i, t, None, None, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, gone_id string")
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    near = C.near_dedup(spark, docs, str(tmp_path))
+    assert near.columns == C.COLUMNS
+    assert key(near) == sorted([(1, a), (5, b), (None, a), (None, None), (6, None), rows[7], rows[8]], key=str)
+    assert key(C.decontaminate(spark, docs, str(tmp_path))) == sorted(rows[:7] + rows[8:], key=str)
+    assert C.mask(spark, docs, str(tmp_path)).count() == C.encode(spark, docs, str(tmp_path)).count() == len(rows)
+
+
 def test_empty_table(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
