@@ -12,16 +12,20 @@ from normloom.functions import norms as N
 from normloom.operators import matching as M
 from normloom.operators import outline as O
 from normloom.operators import render as R
+from normloom.operators import runs as U
 from normloom.operators import segment as S
 from normloom.operators import validate as V
 from normloom.sources import profiles as P
 from normloom.sources import readers
 
 
-def parse_documents(blocks: DataFrame, profile: P.Profile, norm_id: str | None = None, use_links: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Documents as XML (doc_id, xml) and their problems (doc_id, code, message) from blocks by one profile."""
+def parse_documents(blocks: DataFrame, profile: P.Profile, norm_id: str | None = None, use_links: bool = True, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents as XML (doc_id, xml) and their problems (doc_id, code, message) from blocks by one profile.
+
+    rules: patterns and messages of texts that no provision may have.
+    """
     # parts and nodes are read by several of the steps below; kept, they also keep the plans short
-    parts = S.parts(readers.lines(blocks), profile).persist()
+    parts = S.parts(U.trim_ends(readers.lines(blocks)), profile).persist()
     docs = S.documents(parts, profile).persist()
     nodes = M.find_links(O.summaries(O.outline(S.body(parts)).persist()), use=use_links)
     if use_links:
@@ -34,6 +38,8 @@ def parse_documents(blocks: DataFrame, profile: P.Profile, norm_id: str | None =
     xml = whole.select("doc_id", R.document_xml(urn, R.initial_part_xml(F.col("heading"), F.col("summary"), F.col("preamble")), F.col("body")).alias("xml"))
     columns = ["doc_id", "code", "message", "position"]
     found = V.validate(nodes).select(*columns).unionByName(V.document_problems(docs).select(*columns)).unionByName(V.unclosed_amendments(O.unclosed(S.body(parts))).select(*columns))
+    if rules is not None:
+        found = found.unionByName(V.forbidden_text(nodes, rules).select(*columns))
     failed = blocks.where("problem is not null").select("doc_id", F.col("problem").alias("code"), F.lit(V.CODES[15][1]).alias("message"), F.lit(None).cast("string").alias("position"))
     return xml, found.unionByName(failed).distinct()
 
@@ -51,6 +57,8 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         p.add_argument("--id", help="date-or-year;number[-complement][@version]")
         p.add_argument("--override", help="JSON of profile fields")
         p.add_argument("--no-links", action="store_true")
+        p.add_argument("--forbidden", help="files of rules /pattern/,message that no provision's text may match")
+        p.add_argument("--html", action="store_true", help="bodies as HTML in place of XML")
         p.add_argument("--output", help="folder for Parquet; default: print")
         p.add_argument("--info", action="store_true", help="print the parameters and stop")
     commands.add_parser("profiles")
@@ -73,10 +81,10 @@ def main(argv: list[str] | None = None) -> int:
     docs = readers.bytes_of(spark, sys.stdin.buffer.read(), a.mime or "text/plain") if a.path == "-" else readers.files(spark, a.path)
     blocks = readers.documents(docs)
     if a.command == "parse":
-        xml, problems = parse_documents(blocks, profile, a.id, not a.no_links)
+        xml, problems = parse_documents(blocks, profile, a.id, not a.no_links, readers.regex_rules(spark, a.forbidden) if a.forbidden else None)
     else:
         nodes = O.outline(readers.lines(blocks)).persist()
-        xml, problems = R.xml_body(nodes).withColumnRenamed("body", "xml"), V.validate(nodes).select("doc_id", "code", "message", "position")
+        xml, problems = (R.html_body if a.html else R.xml_body)(nodes).withColumnRenamed("body", "xml"), V.validate(nodes).select("doc_id", "code", "message", "position")
     if a.output:
         xml.write.mode("overwrite").parquet(f"{a.output}/xml")
         problems.write.mode("overwrite").parquet(f"{a.output}/problems")

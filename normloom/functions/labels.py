@@ -59,7 +59,7 @@ def parse(norm: Column, compatible: bool = False) -> Column:
         (PARAGRAPH_WORD, _label("paragraph", ordinal(g(PARAGRAPH_WORD, 1)), comp(PARAGRAPH_WORD, 2), g(PARAGRAPH_WORD, 1) == "unic")),
         (PARAGRAPH, _label("paragraph", X.integer(g(PARAGRAPH, 1)), comp(PARAGRAPH, 2))),
         (CLAUSE, _label("clause", X.roman_value(g(CLAUSE, 1)), comp(CLAUSE, 6))),
-        (LETTER, _label("letter", F.coalesce(X.letters_value(filled(g(LETTER, 1))), filled(g(LETTER, 2)).cast("int")), comp(LETTER, 3))),
+        (LETTER, _label("letter", F.coalesce(X.letters_value(filled(g(LETTER, 1))), filled(g(LETTER, 2)).try_cast("int")), comp(LETTER, 3))),
         (ITEM, _label("item", X.integer(g(ITEM, 1)), comp(ITEM, 2))),
         (PENALTY, _label("penalty", none, none)),
         (OTHER, _label("generic", F.lit(0), none, name=F.initcap(g(OTHER, 1)))),

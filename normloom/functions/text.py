@@ -88,14 +88,15 @@ def letters(n: Column, width: int = 7) -> Column:
 
 
 def letters_value(text: Column) -> Column:
-    """Number of a letter sequence: a is 1, z is 26, aa is 27."""
+    """Number of a letter sequence: a is 1, z is 26, aa is 27; null beyond 6 letters, which are a word."""
     chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 96)
+    some = F.aggregate(chars, F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 96)
+    return F.when(F.length(text) <= 1, F.when(text != "", F.ascii(F.lower(text)) - 96).otherwise(0)).when(F.length(text) <= 6, some)
 
 
 def integer(text: Column) -> Column:
-    """Digits with optional thousands dots."""
-    return F.replace(text, F.lit("."), F.lit("")).cast("int")
+    """Digits with optional thousands dots; null if they are too many for a number."""
+    return F.replace(text, F.lit("."), F.lit("")).try_cast("int")
 
 
 def numeral(n: Column) -> Column:
@@ -196,7 +197,7 @@ def opens_quote(norm: Column, in_list: bool = False) -> Column:
 
 def embolden(text: Column, pattern: str) -> Column:
     """Matches of a pattern between b tags."""
-    return F.regexp_replace(text, f"({pattern})", "<b>$1</b>")
+    return F.regexp_replace(text, pattern, "<b>$0</b>")
 
 
 def escape_xml(text: Column) -> Column:

@@ -10,6 +10,8 @@ from normloom.functions.levels import case
 
 #: Classes of a match and their rank (fixed values).
 RANKS = {"exact": 10, "prefix": 9, "suffix": 8, "superprefix": 7, "neighbour": 6, "partial": 4, "none": 0}
+#: Classes in the order in which bases are compared by their counts (a fixed value).
+ORDER = ["exact", "prefix", "suffix", "superprefix", "partial", "neighbour", "none"]
 #: Neighbouring types (cited, provision): what goes between them (fixed values).
 NEIGHBOURS = {"art>inc": "cpt", "art>par": "", "par>inc": "", "inc>ali": "", "ali>ite": "", "prt>liv": "", "liv>tit": "", "tit>cap": "", "cap>sec": "", "sec>sub": ""}
 
@@ -69,7 +71,7 @@ def best_base(best: DataFrame, keys: list[str]) -> DataFrame:
     down to more unmatched ones, then the older norm, dated before undated.
     """
     counts = match_counts(best, keys)
-    order = [F.asc(F.col("n_none") > 0), *(F.desc(f"n_{kind}") for kind in RANKS), F.asc_nulls_last("year"), F.asc_nulls_last("month"), F.asc_nulls_last("day"), F.asc("base")]
+    order = [F.asc(F.col("n_none") > 0), *(F.desc(f"n_{kind}") for kind in ORDER), F.asc_nulls_last("year"), F.asc_nulls_last("month"), F.asc_nulls_last("day"), F.asc("base")]
     return counts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("place = 1").drop("place")
 
 

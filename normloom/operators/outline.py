@@ -18,6 +18,8 @@ from normloom.functions.levels import PROVISION_LEVELS
 from normloom.operators import runs as U
 
 LABEL = ["kind", "level", "num", "comp", "is_unique", "name"]
+#: Kinds of blocks that are no text.
+SOLID = ("table", "image")
 
 
 def _doc() -> WindowSpec:
@@ -38,6 +40,11 @@ def composed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("raw", F.coalesce(U.nfc(odd), F.col("raw")))
 
 
+def _solid(df: DataFrame) -> Column:
+    """Tables and images, which are units by themselves whatever their text."""
+    return F.col("block").isin(*SOLID) if "block" in df.columns else F.lit(False)
+
+
 def amendments(lines: DataFrame) -> DataFrame:
     """Mark quoted runs: inside, starts (first line of a run), open_quote, close_quote, note.
 
@@ -45,19 +52,20 @@ def amendments(lines: DataFrame) -> DataFrame:
     ends with the first line, itself included, that closes one.  `unclosed`
     marks the lines of a run that the document never closes.
     """
-    df = lines.withColumn("norm", X.normalize(F.col("raw"))).withColumn("opens", X.opens_quote(F.col("norm"))).withColumn("closes", X.closes_quote(F.col("norm")))
+    df = lines.withColumn("source", F.col("raw")) if "runs" in lines.columns else lines
+    df = df.withColumn("norm", X.normalize(F.col("raw"))).withColumn("opens", X.opens_quote(F.col("norm"))).withColumn("closes", X.closes_quote(F.col("norm")))
     df = df.withColumn("last_open", F.max(F.when(F.col("opens"), F.col("pos"))).over(_up_to())).withColumn("last_close", F.max(F.when(F.col("closes"), F.col("pos"))).over(_before()))
     df = df.withColumn("inside", F.col("last_open").isNotNull() & (F.col("last_close").isNull() | (F.col("last_open") > F.col("last_close"))))
     df = df.withColumn("open_quote", F.col("inside") & ~F.coalesce(F.lag("inside").over(_doc()) & ~F.lag("closes").over(_doc()), F.lit(False)))
     df = df.withColumn("close_quote", F.col("inside") & F.col("closes")).withColumn("note", F.when(F.col("close_quote"), F.upper(X.closing_note(F.col("norm")))))
-    after = _doc().rowsBetween(0, W.unboundedFollowing)
-    df = df.withColumn("unclosed", F.col("inside") & ~F.coalesce(F.max(F.col("closes")).over(after), F.lit(False)))
+    final_close = F.max(F.when(F.col("closes"), F.col("pos"))).over(W.partitionBy("doc_id"))
+    df = df.withColumn("unclosed", F.col("inside") & ~F.coalesce(final_close >= F.col("pos"), F.lit(False)))
     return df.drop("last_open", "last_close", "opens", "closes")
 
 
 def numbered_amendments(marked: DataFrame) -> DataFrame:
     """Drop blank lines after lines, merge neighbouring runs, and number them: ctx is 0 outside."""
-    blank = F.col("norm") == ""
+    blank = (F.col("norm") == "") & ~_solid(marked)
     df = marked.withColumn("drop_", blank & ~F.coalesce(F.lag(blank).over(_doc()) & F.col("inside"), F.lit(False))).where("not drop_").drop("drop_")
     first = F.col("inside") & ~F.coalesce(F.lag("inside").over(_doc()), F.lit(False))
     df = df.withColumn("run_first", first).withColumn("ctx", F.when(F.col("inside"), F.sum(first.cast("int")).over(_up_to())).otherwise(0).cast("int"))
@@ -69,7 +77,8 @@ def numbered_amendments(marked: DataFrame) -> DataFrame:
 
 def recognised(df: DataFrame, compatible: bool = False) -> DataFrame:
     """Parse labels; add label columns, content and unit (provision, omission or paragraph)."""
-    df = df.withColumn("parsed", L.parse(F.col("norm"), compatible))
+    solid = _solid(df)
+    df = df.withColumn("parsed", F.when(~solid, L.parse(F.col("norm"), compatible)))
     if "list_item" in df.columns:  # elements of an ordered list are named by their position below the line before it
         df = df.withColumn("own_level", F.when(F.col("list_item").isNull(), F.col("parsed.label.level")))
         level = F.last("own_level", ignorenulls=True).over(_before())
@@ -82,10 +91,16 @@ def recognised(df: DataFrame, compatible: bool = False) -> DataFrame:
     spaced = F.trim(F.regexp_replace(F.regexp_replace("raw", r"([\s\p{Z}])[\u0300-\u036f]+", "$1"), r"[\s\p{Z}]+", " "))
     label = F.concat(F.lit(r"^[\u0300-\u036f]*(?:[^\u0300-\u036f][\u0300-\u036f]*){"), F.col("parsed.taken").cast("string"), F.lit("}"))
     content = F.when(F.col("parsed").isNull(), squeezed).when(same, L.rest(squeezed, F.col("parsed"))).otherwise(X.squeeze(F.regexp_replace(spaced, label, F.lit(""))))
-    df = df.withColumn("content", content).drop("parsed")
+    df = df.withColumn("content", content)
+    if "runs" in df.columns:  # the runs of the content: it ends the line, but for a closing quote
+        df = df.withColumn("after_", F.coalesce(F.col("parsed.taken"), F.lit(0)) + 1).withColumn("at_", F.expr("locate(content, source, after_)"))
+        own = U.cut_right(U.cut_left(F.col("runs"), F.col("at_") - 1), F.length("content"))
+        df = df.withColumn("runs", F.when((F.col("at_") > 0) & (F.col("content") != ""), own).otherwise(F.array(U.run(F.col("content"))))).drop("after_", "at_", "source")
+    df = df.drop("parsed")
     omitted = X.is_omission(F.col("content")) | ((F.col("ctx") > 0) & (F.col("content") == "") & (F.col("kind").isNull() | ((F.col("level") > 110) & ~F.col("kind").eqNullSafe(F.lit("amendment")))))
     df = df.withColumn("omitted", omitted)
-    return df.withColumn("unit", F.when(F.col("kind").isNotNull(), F.lit("provision")).when(F.col("omitted"), F.lit("omission")).otherwise(F.lit("paragraph")))
+    own = F.when(solid, F.col("block")) if "block" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("unit", F.when(own.isNotNull(), own).when(F.col("kind").isNotNull(), F.lit("provision")).when(F.col("omitted"), F.lit("omission")).otherwise(F.lit("paragraph")))
 
 
 def merged(df: DataFrame) -> DataFrame:
@@ -102,21 +117,27 @@ def merged(df: DataFrame) -> DataFrame:
     df = df.withColumn("grouped_by", F.last(F.when(F.col("unit") != "paragraph", F.coalesce(grouping, F.lit(False))), ignorenulls=True).over(_up_to()))
     name = (F.col("unit") == "paragraph") & F.col("grouped_by") & same & ~ended & ~F.col("open_quote")
     omission = (F.col("unit") == "omission") & (prev("unit") == "omission") & same & ~ended
-    text = F.when(prev("content") != "", prev("content"))
+    text = F.when((prev("content") != "") & ~prev("unit").isin(*SOLID), prev("content"))
     runs_on = (F.col("unit") == "paragraph") & ~F.col("grouped_by") & same & ~ended & ~F.col("open_quote") & (text.rlike("[,;-]$") | F.col("content").rlike(r"^\p{Ll}"))
     df = df.withColumn("joins", F.coalesce(name | omission | runs_on, F.lit(False)))
-    df = df.withColumn("island", F.sum((~F.col("joins")).cast("int")).over(_up_to()))
-    head = W.partitionBy("doc_id", "island").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    last_head = lambda c: F.last(F.when(~F.col("joins"), F.col(c)), ignorenulls=True).over(_up_to())
+    df = df.withColumn("head_at", last_head("pos")).withColumn("head_unit", last_head("unit"))
     # an island that a stray paragraph heads falls apart again
-    df = df.withColumn("head_unit", F.first("unit").over(head)).withColumn("island", F.when((F.col("head_unit") == "paragraph"), F.struct("island", "pos")).otherwise(F.struct("island", F.lit(-1).cast("int").alias("pos"))))
-    firsts = [F.min_by(c, "pos").alias(c) for c in ["raw", "norm", "ctx", "inside", "run_first", "open_quote", "unclosed", "omitted", "unit", *LABEL]]
-    lasts = [F.max_by(c, "pos").alias(c) for c in ["close_quote", "note"]]
-    texts = F.array_sort(F.collect_list(F.struct("pos", "content")))
-    out = df.groupBy("doc_id", "island").agg(F.min("pos").alias("pos"), *firsts, *lasts, texts.alias("texts"))
+    df = df.withColumn("key", F.when(F.col("head_unit") == "paragraph", F.col("pos")).otherwise(F.col("head_at")))
+    island = W.partitionBy("doc_id", "key").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    if "runs" in df.columns:
+        spaced = F.when(F.col("joins") & (F.col("content") != ""), F.concat(F.array(U.run(F.lit(" "))), F.col("runs"))).otherwise(F.col("runs"))
+        df = df.withColumn("pieces", F.filter(F.flatten(F.collect_list(spaced).over(island)), lambda r: r["text"] != ""))
+        blank = F.coalesce(F.try_element_at("pieces", F.lit(1))["text"] == " ", F.lit(False))
+        df = df.withColumn("runs", U.merge(F.when(blank, F.slice("pieces", F.lit(2), F.size("pieces"))).otherwise(F.col("pieces")))).drop("pieces")
+    df = df.withColumns({"texts": F.collect_list("content").over(island), "close_quote": F.last("close_quote").over(island), "note": F.last("note").over(island)})
+    # the head stands for its island; in the order of the key, which is its own position, no window below sorts again
+    kept = ["ctx", "run_first", "open_quote", "close_quote", "note", "omitted", "unit", *LABEL, "content", "texts"]
+    out = df.where("key = pos").select("doc_id", F.col("key").alias("pos"), *kept, *(["runs"] if "runs" in df.columns else []))
     grouping = F.coalesce((F.col("level") < 110) & (F.col("unit") == "provision"), F.lit(False))
-    joined = F.array_join(F.filter(F.col("texts.content"), lambda t: t != ""), " ")
-    out = out.withColumn("content", F.when(F.col("unit") == "omission", F.col("texts")[0]["content"]).otherwise(joined)).withColumn("heading", F.when(grouping & (F.col("content") != ""), F.col("content")))
-    out = out.withColumn("content", F.when(grouping, F.lit("")).otherwise(F.col("content"))).drop("texts", "island")
+    joined = F.when(F.size("texts") > 1, F.array_join(F.array_remove("texts", ""), " ")).otherwise(F.col("content"))
+    out = out.withColumn("content", F.when(F.col("unit") == "omission", F.col("content")).otherwise(joined)).withColumn("heading", F.when(grouping & (F.col("content") != ""), F.col("content")))
+    out = out.withColumn("content", F.when(grouping, F.lit("")).otherwise(F.col("content"))).drop("texts")
     titled = (F.col("unit") == "paragraph") & X.may_be_title(F.col("content")) & (F.col("content") != "") & ~F.col("close_quote") & (F.lead("unit").over(_doc()) == "provision") & (F.lead("ctx").over(_doc()) == F.col("ctx"))
     out = out.withColumn("is_title", F.coalesce(titled, F.lit(False)))
     out = out.withColumn("title", F.when((F.col("unit") == "provision") & F.lag("is_title").over(_doc()), F.lag("content").over(_doc())))
@@ -127,98 +148,122 @@ def merged(df: DataFrame) -> DataFrame:
 
 def rows(df: DataFrame) -> DataFrame:
     """One row for each node: an article becomes two (itself and its caput), a run gets its amendment."""
-    null = lambda t: F.lit(None).cast(t)
-    text = lambda c: F.lit(c)
+    styled = "runs" in df.columns
+    none = F.lit(None).cast(df.schema["runs"].dataType) if styled else None
 
-    def node(at: Column, ctx: Column, unit: Column, kind: Column, level: Column, num: Column, comp: Column, unique: Column, name: Column, title: Column, content: Column, opens: Column, closes: Column, note: Column, omitted: Column) -> Column:
-        values = {"at": at, "ctx": ctx, "unit": unit, "kind": kind, "level": level, "num": num, "comp": comp, "is_unique": unique, "name": name, "title": title, "content": content, "open_quote": opens, "close_quote": closes, "note": note, "omitted": omitted}
-        kinds = {"at": "int", "ctx": "int", "level": "int", "num": "int", "comp": "int"}
-        return F.struct(*(v.cast(kinds.get(k, "string" if k in ("unit", "kind", "name", "title", "content", "note") else "boolean")).alias(k) for k, v in values.items()))
+    def node(runs: Column | None, **values: Column) -> Column:
+        """A node's values in the order and of the types of all nodes."""
+        kinds = {"at": "int", "ctx": "int", "unit": "string", "kind": "string", "level": "int", "num": "int", "comp": "int", "is_unique": "boolean", "name": "string", "title": "string", "content": "string", "open_quote": "boolean", "close_quote": "boolean", "note": "string", "omitted": "boolean"}
+        return F.struct(*(values.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()), *([runs.alias("runs")] if styled else []))
 
     no, at = F.lit(False), F.col("pos") * 4
     name = F.coalesce("heading", "name")
     article = F.col("kind") == "article"
     kind = F.coalesce("kind", "unit")
-    own = node(at, F.col("ctx"), F.col("unit"), kind, F.col("level"), F.col("num"), F.col("comp"), F.coalesce("is_unique", no), name, F.col("title"), F.when(article, F.lit("")).otherwise(F.col("content")), F.col("open_quote"), F.when(article, no).otherwise(F.col("close_quote")), F.when(~F.coalesce(article, no), F.col("note")), F.col("omitted") & ~F.coalesce(article, no))
-    caput = node(at + 1, F.col("ctx"), text("provision"), text("paragraph"), F.lit(120), null("int"), null("int"), no, null("string"), null("string"), F.col("content"), no, F.col("close_quote"), F.col("note"), F.col("omitted"))
-    amendment = node(at - 1, F.lit(0), text("amendment"), text("amendment"), F.lit(1000), null("int"), null("int"), no, null("string"), null("string"), F.lit(""), no, no, null("string"), no)
+    is_article = F.coalesce(article, no)
+    c = F.col
+    own = node(
+        F.when(is_article, none).otherwise(c("runs")) if styled else None,
+        at=at, ctx=c("ctx"), unit=c("unit"), kind=kind, level=c("level"), num=c("num"), comp=c("comp"), is_unique=F.coalesce("is_unique", no), name=name, title=c("title"),
+        content=F.when(article, F.lit("")).otherwise(c("content")), open_quote=c("open_quote"), close_quote=F.when(article, no).otherwise(c("close_quote")),
+        note=F.when(~is_article, c("note")), omitted=c("omitted") & ~is_article,
+    )
+    caput = node(
+        c("runs") if styled else None,
+        at=at + 1, ctx=c("ctx"), unit=F.lit("provision"), kind=F.lit("paragraph"), level=F.lit(120), is_unique=no, content=c("content"),
+        open_quote=no, close_quote=c("close_quote"), note=c("note"), omitted=c("omitted"),
+    )
+    amendment = node(none, at=at - 1, ctx=F.lit(0), unit=F.lit("amendment"), kind=F.lit("amendment"), level=F.lit(1000), is_unique=no, content=F.lit(""), open_quote=no, close_quote=no, omitted=no)
     parts = F.filter(F.array(F.when(F.col("run_first"), amendment), own, F.when(article, caput)), lambda x: x.isNotNull())
     # a line's label text is kept apart from what it is named
     return df.withColumn("part_text", F.col("name")).select("doc_id", F.explode(parts).alias("n"), "part_text", F.col("ctx").alias("run")).select("doc_id", "n.*", "part_text", F.col("run"))
 
 
-def _part_numbers(df: DataFrame) -> DataFrame:
-    """Parts: GERAL is 1, ESPECIAL 2, other names the number before plus one."""
-    part = F.col("kind") == "part"
-    fixed = F.coalesce(F.col("num"), F.when(F.col("part_text") == "GERAL", 1).when(F.col("part_text") == "ESPECIAL", 2))
-    w = W.partitionBy("doc_id", "kind").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("fixed", F.when(part, fixed)).withColumn("fix_no", F.count("fixed").over(w))
-    g = W.partitionBy("doc_id", "kind", "fix_no").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    counted = F.coalesce(F.first("fixed").over(g), F.lit(0)) + F.row_number().over(W.partitionBy("doc_id", "kind", "fix_no").orderBy("at")) - F.when(F.first("fixed").over(g).isNull(), 0).otherwise(1)
-    return df.withColumn("num", F.when(part, counted.cast("int")).otherwise(F.col("num"))).drop("fixed", "fix_no")
-
-
 def nested(df: DataFrame) -> DataFrame:
-    """Add parent_at, path (root first) and id to node rows."""
+    """Add parent_at, path (root first), ancestry (all that a node stands in) and id to node rows.
+
+    Three sorts inside the partitioning by document: in order; by scope (a run
+    or what is outside of all, up to a stray paragraph); by parent, for numbers;
+    and in order again.
+    """
     doc = W.partitionBy("doc_id").orderBy("at")
-    before = doc.rowsBetween(W.unboundedPreceding, -1)
-    df = _part_numbers(df)
-    stray = ((F.col("unit") == "paragraph") & (F.col("kind") == "paragraph") & F.col("level").isNull()).cast("int")
+    up, past = doc.rowsBetween(W.unboundedPreceding, 0), doc.rowsBetween(W.unboundedPreceding, -1)
+    c = F.col
+    provision, outside, run = c("unit") == "provision", c("ctx") == 0, c("unit") == "amendment"
     # a stray paragraph ends the reach of the provisions before it
-    df = df.withColumn("segment", F.coalesce(F.sum(stray).over(W.partitionBy("doc_id", "ctx").orderBy("at").rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    stray = (c("unit") == "paragraph") & (c("kind") == "paragraph") & c("level").isNull()
+    count = lambda test: F.sum(F.when(test, 1).otherwise(0)).over(up)
+    # parts: GERAL is 1, ESPECIAL 2, other names the number before plus one
+    part = c("kind") == "part"
+    fixed = F.when(part, F.coalesce("num", F.when(c("part_text") == "GERAL", 1).when(c("part_text") == "ESPECIAL", 2)))
+    df = df.withColumns({
+        "segment": F.when(outside, count(stray & outside)).otherwise(count(stray & ~outside)),
+        "nth_part": count(part),
+        "last_any": F.max(F.when(provision & outside, c("at"))).over(past),
+        "last_level": F.last(F.when(provision & outside, c("level")), ignorenulls=True).over(past),
+        "run_at": F.max(F.when(run, c("at"))).over(up),
+    })
+    last_fixed = F.last(F.when(fixed.isNotNull(), F.struct(fixed.alias("num"), "nth_part")), ignorenulls=True).over(up)
+    df = df.withColumn("fix", F.when(part, last_fixed))
+    df = df.withColumn("num", F.when(part, F.coalesce(c("fix.num") + c("nth_part") - c("fix.nth_part"), c("nth_part")).cast("int")).otherwise(c("num"))).drop("fix", "nth_part")
+    df = df.withColumn("tag", F.when(c("unit") == "omission", F.lit("Omissis")).when(c("unit") == "paragraph", F.lit("p")).otherwise(F.coalesce(L.element_name(c("kind"), c("num")), c("unit"))))
+    label = F.struct("at", *LABEL, L.label_id(c("kind"), c("num"), c("comp"), c("is_unique")).alias("lid"), "tag")
+    # the last provision of each level before a row
     here = W.partitionBy("doc_id", "ctx", "segment").orderBy("at")
-    past = here.rowsBetween(W.unboundedPreceding, -1)
-    provision = F.col("unit") == "provision"
-    following = F.first(F.when(provision, F.col("level")), ignorenulls=True).over(here.rowsBetween(1, W.unboundedFollowing))
-    df = df.withColumn("depth", F.when(provision, F.col("level")).when(F.col("unit") == "omission", F.when(following > 110, following).otherwise(115)).when(F.col("unit") == "amendment", 1000))
-    label = F.struct("at", *LABEL)
-    # the last provision of each level before a row, then those that no later, higher one has closed
-    lasts = {f"p{k}": F.last(F.when(provision & (F.col("level") == k), label), ignorenulls=True).over(past) for k in PROVISION_LEVELS}
-    last_any = F.max(F.when(provision & (F.col("ctx") == 0), F.col("at"))).over(before)
-    df = df.withColumns(lasts)
-    kinds = "array<struct<at:int,kind:string,level:int,num:int,comp:int,is_unique:boolean,name:string>>"
-
-    def open_(seen: Column, x: Column) -> Column:
-        live = x.isNotNull() & (x["level"] < F.col("depth")) & (x["at"] > F.coalesce(F.try_element_at(seen, F.lit(-1))["at"], F.lit(-9)))
-        return F.when(live, F.concat(seen, F.array(x))).otherwise(seen)
-
-    df = df.withColumn("lasts", F.array(*lasts).cast(kinds)).drop(*lasts)
-    df = df.withColumn("above", F.aggregate("lasts", F.array().cast(kinds), open_)).drop("lasts")
-    run_at = F.max(F.when(F.col("unit") == "amendment", F.col("at"))).over(doc.rowsBetween(W.unboundedPreceding, 0))
-    df = df.withColumn("parent_at", F.when(F.col("unit") == "amendment", last_any).otherwise(F.coalesce(F.array_max(F.col("above.at")), F.when(F.col("ctx") > 0, run_at))))
-    above_parent = F.try_element_at(F.filter("above", lambda x: x["at"] == F.col("parent_at")), F.lit(1))["level"]
-    last_level = F.last(F.when(provision & (F.col("ctx") == 0), F.col("level")), ignorenulls=True).over(before)
-    df = df.withColumn("parent_level", F.when(F.col("unit") == "amendment", last_level).when(F.size(F.filter("above", lambda x: x["at"] == F.col("parent_at"))) > 0, above_parent).when(F.col("parent_at").isNotNull(), F.lit(1000)).cast("int"))
-    # numbers by position: generic provisions and amendments among their siblings
-    among = W.partitionBy("doc_id", "parent_at", "kind").orderBy("at")
-    counted = F.col("kind").isin("generic", "amendment")
-    df = df.withColumn("num", F.when(counted, F.row_number().over(among).cast("int")).otherwise(F.col("num")))
-    own = F.struct("at", *LABEL)
+    lasts = {f"p{k}": F.last(F.when(provision & (c("level") == k), label), ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, -1)) for k in PROVISION_LEVELS}
+    following = F.expr("lead(if(unit = 'provision', level, null)) ignore nulls over (partition by doc_id, ctx, segment order by at)")
+    df = df.withColumns({"following": following, **lasts})
+    df = df.withColumn("depth", F.when(provision, c("level")).when(c("unit") == "omission", F.when(c("following") > 110, c("following")).otherwise(115)).when(run, 1000))
+    # of these, those that no later, higher one has closed
+    open_, top = {}, F.lit(-9)
+    for k in PROVISION_LEVELS:
+        at = F.coalesce(c(f"p{k}.at"), F.lit(-9))
+        open_[k] = (at > top) & (c("depth") > k)
+        top = F.greatest(top, at)
+    groupings, units = (F.array_compact(F.array(*(F.when(open_[k], c(f"p{k}")) for k in PROVISION_LEVELS if (k < 110) == above))) for above in (True, False))
+    df = df.withColumn("groupings", groupings).withColumn("units", units).withColumn("in_article", F.coalesce(open_[110], F.lit(False)) | F.coalesce(c("level") == 110, F.lit(False)))
+    df = df.withColumn("above", F.concat("groupings", "units")).drop(*lasts, "following", "depth", "segment")
+    nearest = F.try_element_at("above", F.lit(-1))
+    df = df.withColumn("parent_at", F.when(run, c("last_any")).otherwise(F.coalesce(nearest["at"], F.when(~outside, c("run_at")))))
+    df = df.withColumn("parent_level", F.when(run, c("last_level")).otherwise(F.coalesce(nearest["level"], F.when(c("parent_at").isNotNull(), F.lit(1000)))).cast("int")).drop("last_any", "last_level")
+    # numbers by position: generic provisions, amendments and omissions among their siblings
+    series = F.when(c("kind").isin("generic", "amendment", "omission"), c("kind"))
+    df = df.withColumn("series", series).withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "parent_at", "series").orderBy("at")))
+    df = df.withColumn("num", F.when(c("kind").isin("generic", "amendment"), c("nth")).otherwise(c("num")))
+    own = F.struct("at", *LABEL, L.label_id(c("kind"), c("num"), c("comp"), c("is_unique")).alias("lid"), "tag")
     # units below an article, and the article itself, are named from the article on
-    rooted = F.when(F.exists("above", lambda x: x["level"] == 110) | (F.col("level") == 110), F.filter("above", lambda x: x["level"] >= 110)).otherwise(F.col("above"))
-    df = df.withColumn("path", F.when(F.col("unit").isin("provision", "amendment"), F.concat(rooted, F.array(own))).otherwise(rooted))
-    run_path = F.last(F.when(F.col("unit") == "amendment", F.col("path")), ignorenulls=True).over(doc.rowsBetween(W.unboundedPreceding, 0))
-    df = df.withColumn("path", F.when(F.col("ctx") > 0, F.concat(run_path, F.col("path"))).otherwise(F.col("path")))
-    df = df.withColumn("run_parent", F.when(F.col("ctx") > 0, run_at))
-    ids = F.array_join(F.transform("path", lambda x: L.label_id(x["kind"], x["num"], x["comp"], x["is_unique"])), "_")
-    nth = F.row_number().over(W.partitionBy("doc_id", "parent_at", "unit").orderBy("at"))
-    return df.withColumn("id", F.when(F.col("unit") == "omission", F.concat(ids, F.lit("_omi"), nth.cast("string"))).when(F.col("unit") == "paragraph", F.lit(None)).otherwise(ids)).drop("above", "depth", "segment", "part_text", "run")
+    rooted = F.when(c("in_article"), c("units")).otherwise(c("above"))
+    df = df.withColumn("own_path", F.when(provision | run, F.concat(rooted, F.array(own))).otherwise(rooted))
+    df = df.withColumn("own_chain", F.transform("above", lambda x: F.struct(x["at"].alias("at"), x["tag"].alias("tag"))))
+    whole = F.struct(c("own_path").alias("path"), F.concat("own_chain", F.array(F.struct("at", "tag"))).alias("chain"))
+    df = df.withColumn("run", F.when(~outside, F.last(F.when(run, whole), ignorenulls=True).over(up)))
+    df = df.withColumn("path", F.when(outside, c("own_path")).otherwise(F.concat("run.path", "own_path")))
+    df = df.withColumn("ancestry", F.when(outside, c("own_chain")).otherwise(F.concat("run.chain", "own_chain")))
+    ids = F.array_join("path.lid", "_")
+    named = F.when(c("unit") == "omission", F.concat(ids, F.lit("_omi"), c("nth").cast("string"))).when(provision | run, ids)
+    out = df.withColumn("run_parent", F.when(~outside, c("run_at"))).withColumn("id", named).withColumn("parent_id", F.when(c("unit") == "paragraph", ids))
+    return out.drop("groupings", "units", "above", "in_article", "own_path", "own_chain", "run", "run_at", "series", "nth", "part_text", "tag")
 
 
 def summaries(nodes: DataFrame) -> DataFrame:
     """Mark the first paragraph of the only amendment of a provision that speaks of a summary."""
-    speaks = nodes.where((F.col("unit") == "provision") & X.normalize(F.col("content")).rlike(r"\bementa\b")).select("doc_id", F.col("at").alias("speaker"))
-    only = nodes.where("unit = 'amendment'").groupBy("doc_id", F.col("parent_at").alias("speaker")).agg(F.count("*").alias("n"), F.min("at").alias("run_at")).where("n = 1").join(speaks, ["doc_id", "speaker"]).select("doc_id", "run_at")
-    first = nodes.where("ctx > 0").groupBy("doc_id", F.col("run_parent").alias("run_at")).agg(F.min_by(F.struct("at", "unit"), "at").alias("f")).where("f.unit = 'paragraph'").join(only, ["doc_id", "run_at"]).select("doc_id", F.col("f.at").alias("at"), F.lit("summary").alias("klass"))
-    return nodes.join(first, ["doc_id", "at"], "left")
+    doc = W.partitionBy("doc_id").orderBy("at")
+    content = F.last(F.when((F.col("unit") == "provision") & (F.col("ctx") == 0), F.col("content")), ignorenulls=True).over(doc.rowsBetween(W.unboundedPreceding, -1))
+    run = F.col("unit") == "amendment"
+    speaks = run & F.coalesce(X.normalize(content).rlike(r"\bementa\b"), F.lit(False))
+    df = nodes.withColumn("only_", F.count("*").over(W.partitionBy("doc_id", "parent_at", "unit")) == 1).withColumn("speaks_", speaks)
+    first = F.lag(F.col("speaks_") & F.col("only_")).over(doc) & (F.col("unit") == "paragraph")
+    return df.withColumn("klass", F.when(first, F.lit("summary"))).drop("only_", "speaks_")
 
 
 def outline(lines: DataFrame, compatible: bool = False) -> DataFrame:
-    """Nodes of lines (doc_id, pos, raw[, list_item]).
+    """Nodes of lines (doc_id, pos, raw[, list_item][, block][, runs]).
 
     Columns: doc_id, at (order), ctx (number of the quoted run, 0 outside),
     unit, kind, level, num, comp, is_unique, name, title, content, open_quote,
-    close_quote, note, omitted, parent_at, parent_level, path, run_parent, id.
+    close_quote, note, omitted, parent_at, parent_level, path, ancestry (order
+    and element of all nodes around), run_parent, id, parent_id (of paragraphs),
+    and with styled lines runs (of the content, or of a grouping's name).
     """
     return nested(rows(merged(recognised(numbered_amendments(amendments(composed(lines))), compatible))))
 

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from normloom.functions import labels as L
 from normloom.functions import text as X
+from normloom.operators import runs as U
 
 
 def _attribute(name: str, value: Column) -> Column:
@@ -28,69 +29,47 @@ def shown_label(nodes: DataFrame) -> Column:
     return F.trim(L.display(c("kind"), c("num"), c("comp"), c("is_unique"), F.when(c("kind").isin("part", "book", "generic") & c("num").isNull(), c("name"))))
 
 
-def render(nodes: DataFrame, opening: Column, closing: Column) -> DataFrame:
+def render(nodes: DataFrame, opening: Column, name: Column, element: str | None = None) -> DataFrame:
     """(doc_id, body): the nodes of each document as nested text.
 
-    Each node carries the closings of its ancestors, so the closings due before
-    the next node are read off the chains of two neighbours; the document is
-    then one ordered concatenation.
+    Each node knows all nodes around it, so the closing tags due before the
+    next node are read off the two nodes' ancestries, of any depth; the
+    document is then one ordered concatenation.  element: the name of all
+    elements, where they have one.
     """
-    parents = with_chain(nodes.withColumn("text_open", opening).withColumn("text_close", closing))
-    w = Window.partitionBy("doc_id").orderBy("at")
-    following = F.lead("chain").over(w)
-    kept = F.when(following.isNull(), F.lit(0)).otherwise(F.size(F.array_intersect("chain.at", F.coalesce(following.getField("at"), F.array().cast("array<int>")))))
-    due = F.when(F.size("chain") > kept, F.reverse(F.slice("chain", kept + 1, F.size("chain") - kept)))
-    closes = F.coalesce(F.array_join(F.transform(due, lambda x: x["text_close"]), ""), F.lit(""))
-    pieces = parents.withColumn("piece", F.concat("text_open", closes))
+    tag = lambda x: F.concat(F.lit("</"), F.lit(element) if element else x, F.lit(">"))
+    around = F.lead("ancestry").over(Window.partitionBy("doc_id").orderBy("at"))
+    df = nodes.withColumns({"text_open": opening, "text_name": name, "next_at": F.coalesce(around["at"], F.array().cast("array<int>"))})
+    kept = F.size(F.array_intersect("ancestry.at", "next_at"))
+    due = F.reverse(F.slice("ancestry", kept + 1, F.size("ancestry") - kept))
+    closes = F.concat(tag(F.col("text_name")), F.array_join(F.transform(due, lambda x: tag(x["tag"])), ""))
+    pieces = df.withColumn("piece", F.concat("text_open", F.when(F.array_contains("next_at", F.col("at")), F.lit("")).otherwise(closes)))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])
     return pieces.groupBy("doc_id").agg(F.array_join(ordered, "").alias("body"))
 
 
-def with_chain(nodes: DataFrame) -> DataFrame:
-    """Nodes with `chain`: struct(at, text_close) of themselves and their ancestors, root first.
-
-    Ancestors are the last open node of each level before a node, so the chain
-    is read from windows over the parents' order and not from repeated joins.
-    """
-    levels = 24  # groupings, units, an amendment and units below it are fewer
-    up = nodes.withColumn("depth", F.size("ancestry"))
-    w = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    at_depth = {f"d{k}": F.last(F.when(F.col("depth") == k, F.struct("at", "text_close")), ignorenulls=True).over(w) for k in range(1, levels)}
-    up = up.withColumns(at_depth)
-    chain = F.filter(F.array(*(F.when(F.array_contains("ancestry", F.col(f"d{k}.at")), F.col(f"d{k}")) for k in range(1, levels))), lambda x: x.isNotNull())
-    return up.withColumn("chain", chain).drop(*at_depth, "depth")
-
-
-def ancestry(nodes: DataFrame) -> DataFrame:
-    """Nodes with `ancestry`: orders of all ancestors and of the node, root first."""
-    w = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    # groupings above an article are not in its path: take them from the last grouping before it
-    own = F.when(F.col("unit").isin("provision", "amendment"), F.transform("path", lambda x: x["at"])).otherwise(F.concat(F.transform("path", lambda x: x["at"]), F.array("at")))
-    df = nodes.withColumn("own_chain", own)
-    last_group = F.last(F.when((F.col("level") < 110) & (F.col("ctx") == 0), F.transform("path", lambda x: x["at"])), ignorenulls=True).over(w)
-    df = df.withColumn("group_chain", F.coalesce(last_group, F.array().cast("array<int>")))
-    first = F.try_element_at("path", F.lit(1))
-    outer_article = first["level"] == 110
-    # an article's parent is null when a stray paragraph cut it off from the groupings
-    parent_of_article = F.last(F.when((F.col("kind") == "article") & (F.col("ctx") == 0), F.coalesce(F.col("parent_at"), F.lit(-1))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    full = F.when((F.size("path") > 0) & outer_article & (parent_of_article >= 0), F.concat(F.filter("group_chain", lambda a: a <= parent_of_article), F.col("own_chain"))).otherwise(F.col("own_chain"))
-    return df.withColumn("ancestry", full).drop("own_chain", "group_chain")
-
-
 def xml_body(nodes: DataFrame) -> DataFrame:
     """(doc_id, body): nested XML of the outline of each document."""
     c = F.col
-    name = F.when(c("unit") == "omission", F.lit("Omissis")).when(c("unit") == "paragraph", F.lit("p")).otherwise(L.element_name(c("kind"), c("num")))
+    summary = (c("klass") == "summary") if "klass" in nodes.columns else F.lit(False)
+    own = F.when(c("unit") == "omission", F.lit("Omissis")).when(c("unit") == "paragraph", F.lit("p")).otherwise(F.coalesce(L.element_name(c("kind"), c("num")), c("unit")))
+    name = F.when(summary, F.lit("Ementa")).otherwise(own)
     node_id = F.coalesce(c("override_id"), c("id")) if "override_id" in nodes.columns else c("id")
+    node_id = F.when(summary, F.concat("parent_id", F.lit("_ementa"))).otherwise(node_id)
     attributes = F.concat(_attribute("id", node_id), F.when(c("omitted"), F.lit(' textoOmitido="s"')).otherwise(F.lit("")), F.when(c("open_quote"), F.lit(' abreAspas="s"')).otherwise(F.lit("")), F.when(c("close_quote"), F.lit(' fechaAspas="s"')).otherwise(F.lit("")), _attribute("notaAlteracao", F.upper("note")))
     if "base_urn" in nodes.columns:
         attributes = F.concat(attributes, F.when(c("unit") == "amendment", _attribute("xml:base", c("base_urn"))).otherwise(F.lit("")))
     head = F.concat(F.lit("<"), name, attributes, F.lit(">"))
     label = F.when(c("unit") == "provision", _tag("Rotulo", shown_label(nodes))).otherwise(F.lit(""))
-    naming = F.when((c("unit") == "provision") & (c("level") < 110), _tag("NomeAgrupador", c("name"))).otherwise(F.lit(""))
-    text = F.when(c("unit") == "paragraph", X.escape_xml(c("content"))).when((c("unit") == "provision") & ~c("omitted"), F.when(c("content") != "", F.concat(F.lit("<p>"), X.escape_xml(c("content")), F.lit("</p>"))).otherwise(F.lit(""))).otherwise(F.lit(""))
+    styled = U.content_markup(c("runs")) if "runs" in nodes.columns else F.lit(None).cast("string")
+    shown = F.coalesce(F.when(styled != "", styled), X.escape_xml(c("content")))
+    heading = F.coalesce(F.when(styled != "", styled), X.escape_xml(c("name")), F.lit(""))
+    heading = F.when(heading != "", F.concat(F.lit("<NomeAgrupador>"), heading, F.lit("</NomeAgrupador>"))).otherwise(F.lit(""))
+    naming = F.when((c("unit") == "provision") & (c("level") < 110), heading).otherwise(F.lit(""))
+    cell = F.concat(F.lit("<tr><td>"), X.escape_xml(c("content")), F.lit("</td></tr>"))
+    text = F.when(c("unit") == "paragraph", shown).when(c("unit") == "table", cell).when((c("unit") == "provision") & ~c("omitted"), F.when(c("content") != "", F.concat(F.lit("<p>"), shown, F.lit("</p>"))).otherwise(F.lit(""))).otherwise(F.lit(""))
     opening = F.concat(head, _tag("TituloDispositivo", c("title")), label, naming, text)
-    return render(ancestry(nodes), opening, F.concat(F.lit("</"), name, F.lit(">")))
+    return render(nodes, opening, name)
 
 
 def html_body(nodes: DataFrame) -> DataFrame:
@@ -101,15 +80,15 @@ def html_body(nodes: DataFrame) -> DataFrame:
     quoted = F.concat(F.when(c("open_quote"), F.lit("“")).otherwise(F.lit("")), F.coalesce(F.when(c("level") < 110, c("name")).otherwise(c("content")), F.lit("")), F.when(c("close_quote"), F.lit("”")).otherwise(F.lit("")), F.coalesce(F.concat(F.lit(" ("), c("note"), F.lit(")")), F.lit("")))
     title = F.when(c("title").isNotNull(), F.concat(F.lit('<span class="title">'), X.escape_xml(c("title")), F.lit("</span> "))).otherwise(F.lit(""))
     text = F.when(quoted != "", F.concat(F.lit("<p>"), title, label, X.escape_xml(quoted), F.lit("</p>"))).otherwise(F.concat(title, label))
-    return render(ancestry(nodes), F.concat(head, text), F.lit("</div>"))
+    return render(nodes, F.concat(head, text), F.lit("div"), "div")
 
 
 def metadata_xml(urn: Column) -> Column:
     return F.concat(F.lit("<Metadado><Identificacao"), _attribute("URN", urn), F.lit("/></Metadado>"))
 
 
-#: Titles of office holders that a preamble emphasises (fixed values).
-HOLDERS = "(?:O|A)(?:S)? (?:VICE-)?PRESIDENTE? DA REPÚBLICA|O CONGRESSO NACIONAL|O SENADO FEDERAL|A CÂMARA DOS DEPUTADOS"
+#: Office holders that a preamble emphasises (a fixed value).
+HOLDERS = r"\b([OA] +)?(VICE-)?PRESIDENT[EA] +DA +REP.BLICA\b"
 
 
 def initial_part_xml(heading: Column, summary: Column, preamble: Column) -> Column:
@@ -118,8 +97,9 @@ def initial_part_xml(heading: Column, summary: Column, preamble: Column) -> Colu
     return F.concat(F.lit("<ParteInicial>"), _tag("Epigrafe", heading), _tag("Ementa", summary), shown, F.lit("</ParteInicial>"))
 
 
-def document_xml(urn: Column, initial: Column, body: Column) -> Column:
-    return F.concat(F.lit("<LexML>"), metadata_xml(urn), F.lit("<ProjetoNorma><Norma>"), initial, F.lit("<Articulacao>"), F.coalesce(body, F.lit("")), F.lit("</Articulacao></Norma></ProjetoNorma></LexML>"))
+def document_xml(urn: Column, initial: Column, body: Column, root: str = "Documento") -> Column:
+    """A whole document below an element of the given name."""
+    return F.concat(F.lit(f"<{root}>"), metadata_xml(urn), F.lit("<ProjetoNorma><Norma>"), initial, F.lit("<Articulacao>"), F.coalesce(body, F.lit("")), F.lit("</Articulacao></Norma></ProjetoNorma>"), F.lit(f"</{root}>"))
 
 
 def editor_metadata_xml(urn: Column, summary: Column, digest: Column, provisions: Column, parts: Column) -> Column:
@@ -145,3 +125,15 @@ def zip_bundle(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
                 bundle.comment = (c or "").encode()[:65535]
             out.append(buffer.getvalue())
         yield pd.Series(out)
+
+
+@F.pandas_udf(StructType([StructField("comment", StringType()), StructField("names", ArrayType(StringType())), StructField("texts", ArrayType(StringType()))]))
+def unzipped(bundles: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Comment, member names and member texts of bundles."""
+    for column in bundles:
+        rows = []
+        for blob in column:
+            with zipfile.ZipFile(io.BytesIO(bytes(blob))) as bundle:
+                names = bundle.namelist()
+                rows.append((bundle.comment.decode(), names, [bundle.read(n).decode() for n in names]))
+        yield pd.DataFrame(rows, columns=["comment", "names", "texts"])

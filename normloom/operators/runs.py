@@ -59,17 +59,28 @@ def plain(runs: Column) -> Column:
     return F.transform(runs, lambda r: F.struct(r["text"].alias("text"), F.lit(False).alias("b"), F.lit(False).alias("i"), r["sup"].alias("sup"), r["sub"].alias("sub"), r["href"].alias("href")))
 
 
+def _escaped(text_: Column) -> Column:
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text_ = F.replace(text_, F.lit(c), F.lit(name))
+    return text_
+
+
 def to_markup(runs: Column) -> Column:
-    """Runs as tags: bold outside italic, superscript and subscript."""
+    """Runs as tags: links outside bold outside italic, then superscript and subscript; text is escaped."""
     def one(r: Column) -> Column:
-        out = r["text"]
+        out = _escaped(r["text"])
         for s in reversed(STYLE):
             out = F.when(r[s], F.concat(F.lit(f"<{s}>"), out, F.lit(f"</{s}>"))).otherwise(out)
-        return out
+        return F.when(r["href"].isNotNull(), F.concat(F.lit('<span xlink:href="'), _escaped(r["href"]), F.lit('">'), out, F.lit("</span>"))).otherwise(out)
 
     return F.array_join(F.transform(runs, one), "")
 
 
+def content_markup(runs: Column) -> Column:
+    """Runs of a provision's text as tags; a text that is bold or italic as a whole has neither."""
+    return to_markup(F.when(F.size(runs) == 1, plain(runs)).otherwise(runs))
+
+
 def style_of(css: Column) -> Column:
     """Struct of style flags of a CSS text; other properties are dropped."""
     rules = F.str_to_map(F.lower(F.regexp_replace(css, r"\s+", "")), F.lit(";"), F.lit(":"))

@@ -22,15 +22,18 @@ def _in_order() -> WindowSpec:
 
 
 def markers(lines: DataFrame, profile: Profile) -> DataFrame:
-    """Lines (doc_id, pos, norm) with marker (class of a marker line) and section (null in the body).
+    """Lines (doc_id, pos, norm, part) with, in the body, marker (class of a marker line) and section.
 
     The first line of each class starts its section and is dropped; later ones
     stay where they are.
     """
     kind = F.coalesce(*(F.when(F.col("norm").rlike(profile.pattern(m)), F.lit(m)) for m in MARKERS))
-    df = lines.withColumn("marker", kind)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "marker").orderBy("pos"))
-    df = df.withColumn("starts", F.col("marker").isNotNull() & (nth == 1))
+    df = lines.withColumn("marker", F.when(F.col("part") == "body", kind))
+    seen = {f"n_{m}": F.sum(F.when(F.col("marker") == m, 1).otherwise(0)).over(_in_order()) for m in MARKERS}
+    first = F.lit(False)
+    for m in MARKERS:
+        first = first | ((F.col("marker") == m) & (F.col(f"n_{m}") == 1))
+    df = df.withColumns(seen).withColumn("starts", F.coalesce(first, F.lit(False))).drop(*seen)
     return df.withColumn("section", F.last(F.when(F.col("starts"), F.col("marker")), ignorenulls=True).over(_in_order()))
 
 
@@ -39,7 +42,7 @@ def _first(where: Column) -> Column:
 
 
 def parts(lines: DataFrame, profile: Profile) -> DataFrame:
-    """Lines (doc_id, pos, raw) with norm and part: before, heading, after_heading, summary,
+    """Lines (doc_id, pos, raw, any others) with norm and part: before, heading, after_heading, summary,
     preamble, body, or the name of a section; marker lines are of part marker."""
     df = lines.withColumn("norm", X.normalize(F.col("raw")))
     start = F.col("norm").rlike(profile.pattern("heading_start"))
@@ -63,10 +66,9 @@ def parts(lines: DataFrame, profile: Profile) -> DataFrame:
         .when(before_body, F.lit("summary"))
         .otherwise(F.lit("body"))
     )
-    df = df.withColumn("part", part)
-    body = markers(df.where("part = 'body'"), profile)
-    body = body.withColumn("part", F.when(F.col("starts"), F.lit("marker")).otherwise(F.coalesce("section", F.lit("body")))).drop("marker", "starts", "section")
-    return df.where("part <> 'body'").unionByName(body).select("doc_id", "pos", "raw", "norm", "part")
+    df = markers(df.withColumn("part", part), profile)
+    section = F.when(F.col("starts"), F.lit("marker")).otherwise(F.coalesce("section", F.lit("body")))
+    return df.withColumn("part", F.when(F.col("part") == "body", section).otherwise(F.col("part"))).select(*lines.columns, "norm", "part")
 
 
 def documents(parts_: DataFrame, profile: Profile) -> DataFrame:
@@ -79,4 +81,4 @@ def documents(parts_: DataFrame, profile: Profile) -> DataFrame:
 
 def body(parts_: DataFrame) -> DataFrame:
     """Lines of the body, for the outline."""
-    return parts_.where("part = 'body'").select("doc_id", "pos", "raw")
+    return parts_.where("part = 'body'").drop("norm", "part")

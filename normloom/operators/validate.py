@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from normloom.functions import labels as L
 from normloom.functions import text as X
 from normloom.functions.levels import LEVELS, case, follows, may_be_first, may_contain
+from normloom.sources.readers import classified
 
 #: Problem codes: category and meaning (fixed values; 1 to 5: input, metadata, system, structure, references).
 CODES = {
@@ -94,8 +95,8 @@ def empty_body(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def forbidden_text(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules (pattern, message) that a provision's text matches; the rules are a checked small table."""
-    hits = nodes.join(F.broadcast(rules), F.expr("content rlike pattern"))
+    """Rules (pattern, message) that a provision's text matches."""
+    hits = classified(nodes.where("unit = 'provision' and content <> ''"), rules, "content")
     return hits.select("doc_id", F.lit(11).alias("code"), F.lit(4).alias("category"), F.col("at").cast("int").alias("at"), F.col("id").alias("position"), F.col("message"))
 
 

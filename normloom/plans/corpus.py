@@ -84,3 +84,49 @@ nodes AS (
   UNION ALL SELECT doc_id, seq, 72, 'paragraph', 120, NULL, false, 110, last_id || '_alt1_art9_cpt', 'Nova redação.', NULL, 1 FROM own WHERE amended)
 """
 )
+
+
+def varied_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pos, raw: a norm for each order with what the articles above never have.
+
+    Parts, unsorted clauses, generic provisions, titles, amendments of several
+    lines with omitted text, omissions and stray paragraphs, some only in some.
+    """
+    k = F.col("o_orderkey")
+    line = lambda text, where=None: F.when(F.lit(True) if where is None else where, text if not isinstance(text, str) else F.lit(text))
+    lines_ = F.array(
+        line("PARTE GERAL", k % 2 == 0), line(F.concat(F.lit("Art. 1º Texto "), k.cast("string"), F.lit(":"))), line("II – segundo;"), line("I – primeiro;"), line("Multa - leve;"), line("Multa - grave."),
+        line("Do prazo"), line("Art. 2º O art. 5º muda:"), line("“Art. 5º Novo texto,"), line("continua aqui:"), line("I – ....."), line("II – fim.” (NR)"), line("...", k % 3 == 0),
+        line("Art. 3º Fim."), line("Solto. Fim.", k % 5 == 0), line("§ 1º Depois."),
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.posexplode(F.array_compact(lines_)).alias("pos", "raw"))
+
+
+#: The nodes of these norms written out: where each is, and its values.
+VARIED_SQL = """WITH v(n, held, kind, level, num, above, id, content, name, title, ctx, omitted, note) AS (VALUES
+  (1, 'part', 'part', 10, 1, NULL, 'prt1', '', 'GERAL', NULL, 0, false, NULL),
+  (2, 'all', 'article', 110, 1, 10, 'art1', '', NULL, NULL, 0, false, NULL),
+  (3, 'all', 'paragraph', 120, NULL, 110, 'art1_cpt', 'Texto', NULL, NULL, 0, false, NULL),
+  (4, 'all', 'clause', 130, 2, 120, 'art1_cpt_inc2', 'segundo;', NULL, NULL, 0, false, NULL),
+  (5, 'all', 'clause', 130, 1, 120, 'art1_cpt_inc1', 'primeiro;', NULL, NULL, 0, false, NULL),
+  (6, 'all', 'generic', 160, 1, 130, 'art1_cpt_inc1_dpg1', 'leve;', 'Multa', NULL, 0, false, NULL),
+  (7, 'all', 'generic', 160, 2, 130, 'art1_cpt_inc1_dpg2', 'grave.', 'Multa', NULL, 0, false, NULL),
+  (8, 'all', 'article', 110, 2, 10, 'art2', '', NULL, 'Do prazo', 0, false, NULL),
+  (9, 'all', 'paragraph', 120, NULL, 110, 'art2_cpt', 'O art. 5º muda:', NULL, NULL, 0, false, NULL),
+  (10, 'all', 'amendment', 1000, 1, 120, 'art2_cpt_alt1', '', NULL, NULL, 0, false, NULL),
+  (11, 'all', 'article', 110, 5, 1000, 'art2_cpt_alt1_art5', '', NULL, NULL, 1, false, NULL),
+  (12, 'all', 'paragraph', 120, NULL, 110, 'art2_cpt_alt1_art5_cpt', 'Novo texto, continua aqui:', NULL, NULL, 1, false, NULL),
+  (13, 'all', 'clause', 130, 1, 120, 'art2_cpt_alt1_art5_cpt_inc1', '....', NULL, NULL, 1, true, NULL),
+  (14, 'all', 'clause', 130, 2, 120, 'art2_cpt_alt1_art5_cpt_inc2', 'fim.', NULL, NULL, 1, false, 'NR'),
+  (15, 'omission', 'omission', NULL, NULL, 110, 'art2_omi1', '...', NULL, NULL, 0, true, NULL),
+  (16, 'all', 'article', 110, 3, 10, 'art3', '', NULL, NULL, 0, false, NULL),
+  (17, 'all', 'paragraph', 120, NULL, 110, 'art3_cpt', 'Fim.', NULL, NULL, 0, false, NULL),
+  (18, 'stray', 'paragraph', NULL, NULL, NULL, NULL, 'Solto. Fim.', NULL, NULL, 0, false, NULL),
+  (19, 'all', 'paragraph', 120, 1, 110, 'art3_par1', 'Depois.', NULL, NULL, 0, false, NULL)),
+o AS (SELECT o_orderkey AS k FROM orders),
+nodes AS (
+  SELECT k AS doc_id, n, kind, CAST(level AS INT) AS level, CAST(num AS INT) AS num,
+         CAST(CASE WHEN above = 10 AND k % 2 <> 0 OR n = 19 AND k % 5 = 0 THEN NULL ELSE above END AS INT) AS parent_level,
+         CASE WHEN n = 19 AND k % 5 = 0 THEN 'par1' ELSE id END AS id, CASE WHEN n = 3 THEN 'Texto ' || k || ':' ELSE content END AS content, name, title, CAST(ctx AS INT) AS ctx, omitted, note
+  FROM o, v WHERE CASE held WHEN 'part' THEN k % 2 = 0 WHEN 'omission' THEN k % 3 = 0 WHEN 'stray' THEN k % 5 = 0 ELSE true END)
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from normloom.functions import norms as N
 from normloom.functions import text as X
+from normloom.operators import outline as O
 from normloom.operators import render as R
 from normloom.operators import segment as S
 from normloom.plans.corpus import table
@@ -40,20 +41,20 @@ def fn_norm_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", "i.year", "i.date", "i.number", "i.comp", N.heading_id(F.col("i.year"), F.col("i.date"), F.col("i.number"), F.col("i.comp")).alias("heading"))
 
 
-@query("""SELECT o_orderkey, 'LEI Nº ' || o_orderkey || ' (' || o_orderpriority || ')' AS heading, 'norma ' || o_orderkey || ' de LEXML_ANO, LEXML_X' AS filled,
+@query("""SELECT o_orderkey, 'LEI Nº ' || o_orderkey || ' (' || o_orderpriority || ')' AS heading, 'norma ' || o_orderkey || ' de NORMA_ANO, NORMA_X' AS filled,
  strftime(o_orderdate, '%Y-%m-%d') || ';publicacao;' || strftime(o_orderdate, '%Y-%m-%dt%H.%M') AS version, 'lei_' || o_orderkey || '_' || year(o_orderdate) AS folder FROM orders""")
 def fn_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions, heading templates, placeholders, folder names."""
     o = table(spark, sf_dir, "orders")
     number = F.col("o_orderkey").cast("string")
     heading = N.fill(F.lit("<head> Nº <id> (<tail>)"), {"head": F.lit("LEI"), "id": number, "tail": F.col("o_orderpriority")})
-    filled = N.replace_placeholders(F.lit("norma LEXML_NUMERO de LEXML_ANO, LEXML_X"), {"LEXML_NUMERO": number, "LEXML_ANO": F.lit(None).cast("string")})
+    filled = N.replace_placeholders(F.lit("norma NORMA_NUMERO de NORMA_ANO, NORMA_X"), {"NUMERO": number, "ANO": F.lit(None).cast("string")})
     version = N.version(F.col("o_orderdate"), F.lit("publicacao"), F.col("o_orderdate"))
     return o.select("o_orderkey", heading.alias("heading"), filled.alias("filled"), version.alias("version"), N.folder_name(F.lit("lei"), F.col("o_orderkey"), F.lit(None), F.year("o_orderdate"), F.lit(None)).alias("folder"))
 
 
 @query("""SELECT o_orderkey, '<Metadado><Identificacao URN="urn:lex:br:federal:lei:' || year(o_orderdate) || ';' || o_orderkey || '"/></Metadado>' AS metadata,
- '<ParteInicial><Epigrafe>LEI ' || o_orderkey || '</Epigrafe><Ementa>Prioridade &lt;' || o_orderpriority || '&gt;.</Ementa><Preambulo><p><b>O CONGRESSO NACIONAL</b> decreta:</p></Preambulo></ParteInicial>' AS initial,
+ '<ParteInicial><Epigrafe>LEI ' || o_orderkey || '</Epigrafe><Ementa>Prioridade &lt;' || o_orderpriority || '&gt;.</Ementa><Preambulo><p>O CONGRESSO NACIONAL decreta, e ' || CASE WHEN o_orderkey % 2 = 0 THEN '<b>A PRESIDENTA DA REPÚBLICA</b>' ELSE '<b>VICE-PRESIDENTE DA REPÚBLICA</b>' END || ' sanciona:</p></Preambulo></ParteInicial>' AS initial,
  '<Proposicao urn="u" md5="' || md5(o_orderpriority) || '" dispositivos="7"><Ementa>x</Ementa><Parte>proposicao.xml</Parte><Parte>texto.xml</Parte></Proposicao>' AS editor FROM orders""")
 def render_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and initial part of each norm."""
@@ -61,21 +62,33 @@ def render_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("o_orderkey").cast("string")
     urn = N.urn(F.lit("br"), F.lit("federal"), F.lit("lei"), F.concat_ws(";", F.year("o_orderdate").cast("string"), number))
     summary = F.concat(F.lit("Prioridade <"), F.col("o_orderpriority"), F.lit(">."))
-    initial = R.initial_part_xml(F.concat(F.lit("LEI "), number), summary, F.lit("O CONGRESSO NACIONAL decreta:"))
+    holder = F.when(F.col("o_orderkey") % 2 == 0, "A PRESIDENTA DA REPÚBLICA").otherwise("VICE-PRESIDENTE DA REPÚBLICA")
+    preamble = F.concat(F.lit("O CONGRESSO NACIONAL decreta, e "), holder, F.lit(" sanciona:"))
+    initial = R.initial_part_xml(F.concat(F.lit("LEI "), number), summary, preamble)
     editor = R.editor_metadata_xml(F.lit("u"), F.lit("x"), F.md5("o_orderpriority"), F.lit(7), F.array(F.lit("proposicao.xml"), F.lit("texto.xml")))
     return o.select("o_orderkey", R.metadata_xml(urn).alias("metadata"), initial.alias("initial"), editor.alias("editor"))
 
 
-@query()
+@query("""SELECT o_orderkey, 'LEI ' || o_orderkey AS comment, 'proposicao.xml,texto.xml' AS names,
+ '<Metadado><Identificacao URN="' || o_orderkey || '"/></Metadado>' AS metadata, '<p>' || o_orderpriority || ' é</p>' AS body FROM orders""")
 def zip_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ZIP of metadata and text of each norm, and its digest."""
+    """A ZIP of metadata and text of each norm, unpacked again."""
     o = table(spark, sf_dir, "orders")
     number = F.col("o_orderkey").cast("string")
-    return o.select("o_orderkey", F.md5(R.zip_bundle(R.metadata_xml(number), F.concat(F.lit("<p>"), number, F.lit("</p>")), number)).alias("digest"))
+    bundle = R.zip_bundle(R.metadata_xml(number), F.concat(F.lit("<p>"), "o_orderpriority", F.lit(" é</p>")), F.concat(F.lit("LEI "), number))
+    z = o.select("o_orderkey", R.unzipped(bundle).alias("z"))
+    return z.select("o_orderkey", "z.comment", F.array_join("z.names", ",").alias("names"), F.col("z.texts")[0].alias("metadata"), F.col("z.texts")[1].alias("body"))
 
 
-_PROFILES = ", ".join(f"('{p.locality}', '{p.authority}', '{p.type}', {str(p.heading_optional).lower()}, {str(p.summary_optional).lower()}, {str(p.is_draft).lower()}, {str(p.pre_heading_allowed).lower()})" for p in P.built_in())
-_PROFILE_SQL = f"profiles AS (SELECT * FROM (VALUES {_PROFILES}) AS t(locality, authority, type, heading_optional, summary_optional, is_draft, pre_heading_allowed))"
+#: The built-in profiles written out: authority, then type and what is true of it (h heading optional, s summary optional, d draft, n no text before the heading).
+_PROFILE_SQL = """profiles AS (
+ SELECT 'br' AS locality, authority, split_part(x, ' ', 1) AS type, contains(split_part(x, ' ', 2), 'h') AS heading_optional, contains(split_part(x, ' ', 2), 's') AS summary_optional,
+        contains(split_part(x, ' ', 2), 'd') AS is_draft, NOT contains(split_part(x, ' ', 2), 'n') AS pre_heading_allowed
+ FROM (SELECT authority, unnest(string_split(types, ', ')) AS x FROM (VALUES
+  ('senado.federal', 'projeto.lei;pls d, projeto.lei;plc hd, proposta.emenda.constitucional;pec d, projeto.resolucao;prs d, projeto.decreto.legislativo;pds hdn, projeto.decreto.legislativo;pdc hd, projeto.decreto.legislativo;pdl hd, projeto.lei.complementar;pls d, projeto.lei.complementar;plc hd, projeto.lei;pl hd, projeto.lei.complementar;plp hd, resolucao, regimento.interno s'),
+  ('camara.deputados', 'projeto.decreto.legislativo;pdl hd, projeto.lei;pl hd, projeto.lei.complementar;plp hd, projeto.resolucao hd, resolucao, regimento.interno s'),
+  ('congresso.nacional', 'projeto.lei;pln hd, medida.provisoria;mpv d, decreto.legislativo, resolucao, regimento.interno s, projeto.lei.conversao;plv hd'),
+  ('federal', 'lei, lei.complementar, lei.delegada, decreto.lei, decreto, decreto.legislativo, emenda.constitucional, emenda.constitucional.revisao s, medida.provisoria, constituicao s, ato.disposicoes.constitucionais.transitorias s')) AS t(authority, types)))"""
 
 
 @query(f"WITH {_PROFILE_SQL} SELECT * FROM profiles")
@@ -146,10 +159,13 @@ def _bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BILLS = """b AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderkey % 7 > 0 AS h, o_orderkey % 11 > 0 AS a FROM orders)"""
 
 
-@query(f"""WITH {_BILLS} SELECT k AS doc_id, CASE WHEN h THEN 'PROJETO DE LEI DO SENADO Nº ' || k || ', DE 1998' ELSE '' END AS heading,
+_PARTS = """SELECT k AS doc_id, CASE WHEN h THEN 'PROJETO DE LEI DO SENADO Nº ' || k || ', DE 1998' ELSE '' END AS heading,
  concat_ws(' ', CASE WHEN NOT h AND k % 4 = 0 THEN 'SENADO' END, CASE WHEN k % 5 > 0 THEN 'Dispõe sobre ' || p || '.' END) AS summary,
  CASE WHEN a THEN 'O Congresso Nacional decreta:' ELSE 'O Congresso Nacional decreta:' || CASE WHEN k % 3 = 0 THEN ' Sala das Sessões, hoje.' ELSE ' JUSTIFICAÇÃO' END || ' Texto livre. JUSTIFICAÇÃO' END AS preamble,
- CASE WHEN a THEN 2 ELSE 0 END AS n_body, NOT h AS no_heading, NOT (k % 5 > 0 OR (NOT h AND k % 4 = 0)) AS no_summary, NOT a AS no_body FROM b""")
+ CASE WHEN a THEN 2 ELSE 0 END AS n_body, NOT h AS no_heading, NOT (k % 5 > 0 OR (NOT h AND k % 4 = 0)) AS no_summary, NOT a AS no_body FROM b"""
+
+
+@query(f"WITH {_BILLS} {_PARTS}")
 def segment_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading, summary and preamble of each bill, and what is missing."""
     profile = P.find("br", "senado.federal", "projeto.lei;pls")
@@ -157,12 +173,19 @@ def segment_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.documents(parts, profile).select("doc_id", "heading", "summary", "preamble", "n_body", "no_heading", "no_summary", "no_body")
 
 
-@query(f"""WITH {_BILLS} SELECT part, count(*) AS n FROM (
- SELECT unnest(['body', 'body', 'marker', CASE WHEN k % 3 = 0 THEN 'place_date' ELSE 'justification' END, CASE WHEN k % 3 = 0 THEN 'marker' ELSE 'justification' END]) AS part FROM b WHERE a) GROUP BY part""")
-def segment_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of the bills that have a body."""
-    parts = S.parts(_bills(spark, sf_dir).where("doc_id % 11 > 0"), P.find("br", "senado.federal", "projeto.lei;pls"))
-    return parts.where("part in ('body', 'marker') or part in ('place_date', 'justification', 'annex', 'cited_law', 'signature')").groupBy("part").agg(F.count("*").alias("n"))
+@query(f"""WITH {_BILLS}, p AS ({_PARTS})
+SELECT doc_id, '<Documento><Metadado><Identificacao URN="urn:lex:br:senado.federal:projeto.lei;pls:1998;' || doc_id || '"/></Metadado><ProjetoNorma><Norma><ParteInicial>'
+ || CASE WHEN heading <> '' THEN '<Epigrafe>' || heading || '</Epigrafe>' ELSE '' END || CASE WHEN summary <> '' THEN '<Ementa>' || summary || '</Ementa>' ELSE '' END
+ || '<Preambulo><p>' || preamble || '</p></Preambulo></ParteInicial><Articulacao>'
+ || CASE WHEN n_body > 0 THEN '<Artigo id="art1"><Rotulo>Art. 1º</Rotulo><Caput id="art1_cpt"><p>Esta Lei entra em vigor.</p></Caput><Paragrafo id="art1_par1u"><Rotulo>Parágrafo único.</Rotulo><p>Salvo.</p></Paragrafo></Artigo>' ELSE '' END
+ || '</Articulacao></Norma></ProjetoNorma></Documento>' AS xml FROM p""")
+def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bill as a whole XML document."""
+    profile = P.find("br", "senado.federal", "projeto.lei;pls")
+    parts = S.parts(_bills(spark, sf_dir), profile)
+    whole = S.documents(parts, profile).join(R.xml_body(O.outline(S.body(parts))), "doc_id", "left")
+    urn = N.urn(F.lit(profile.locality), F.lit(profile.authority), F.lit(profile.type), F.concat(F.lit("1998;"), F.col("doc_id").cast("string")))
+    return whole.select("doc_id", R.document_xml(urn, R.initial_part_xml(F.col("heading"), F.col("summary"), F.col("preamble")), F.col("body")).alias("xml"))
 
 
 @query(f"""WITH {_BILLS} SELECT part, count(*) AS n FROM (SELECT unnest(list_concat(

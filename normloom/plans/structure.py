@@ -12,7 +12,7 @@ from normloom.operators import matching as M
 from normloom.operators import outline as O
 from normloom.operators import render as R
 from normloom.operators import validate as V
-from normloom.plans.corpus import NODES_SQL, lines
+from normloom.plans.corpus import NODES_SQL, VARIED_SQL, lines, table, varied_lines
 from normloom.plans.registry import query
 
 _ORD = "row_number() OVER (PARTITION BY doc_id ORDER BY seq, sub)"
@@ -47,6 +47,69 @@ def outline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select("doc_id", "provisions", F.col("features")["amendment"].alias("has_amendment"), F.col("features")["title"].alias("has_title"), F.col("features")["penalty"].alias("has_penalty"))
 
 
+@query(VARIED_SQL + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS ord, kind, level, num, parent_level, id, content, name, title, ctx, omitted, note FROM nodes")
+def outline_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, generics, titles, omissions, stray text and amendments of several lines."""
+    nodes = O.outline(varied_lines(spark, sf_dir))
+    order = F.row_number().over(W.partitionBy("doc_id").orderBy("at"))
+    return nodes.select("doc_id", order.alias("ord"), "kind", "level", "num", "parent_level", "id", "content", "name", "title", "ctx", "omitted", "note")
+
+
+@query(
+    VARIED_SQL
+    + """SELECT doc_id, 2 AS code, 'inverted_order' AS rule, id AS position FROM nodes WHERE n = 5
+UNION ALL SELECT doc_id, 4, 'bad_first', id FROM nodes WHERE n = 4 OR n = 19 AND doc_id % 5 = 0
+UNION ALL SELECT doc_id, 16, 'stray_text', '' FROM nodes WHERE n = 18
+UNION ALL SELECT doc_id, 20, 'omission_outside', id FROM nodes WHERE n = 15"""
+)
+def validation_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that sorted norms never break."""
+    return V.validate(O.outline(varied_lines(spark, sf_dir))).select("doc_id", "code", "rule", "position")
+
+
+#: Bodies of a norm that break a rule each, by the last digit of its order.
+_FAULTS = [
+    "Art. 1º Um.\nArtigo único. Dois.", "Art. 1º Um:\n§ 1º a.\nParágrafo único. b.\n§ 3º c.", "Art. 1º Um:\na) b.", "Art. 1º Muda:\n“Art. 2º Um:\na) b.” (NR)",
+    "Art. 1º Um.\nArt. 3º Dois.", "Art. 2º Um.\nArt. 1º Dois.", "Art. 1º Um:\nI - a;\na) b;\nj) c;\nl) d.", "Art. 1º Um.\nArt. 1º Dois.", "CAPÍTULO II\nDO PRAZO\nArt. 1º Um.", "Art. 1º Um.\nArt. 1º-A. Dois.\nArt. 2º Três.",
+]
+
+
+@query("""SELECT o_orderkey AS doc_id, unnest(CASE o_orderkey % 10 WHEN 0 THEN ['repeated_label', 'repeated_path', 'discontinuity', 'unique_not_alone'] WHEN 1 THEN ['repeated_label', 'repeated_path', 'discontinuity', 'unique_not_alone']
+ WHEN 2 THEN ['bad_position', 'letter_not_under_clause'] WHEN 3 THEN ['letter_not_under_clause'] WHEN 4 THEN ['discontinuity'] WHEN 5 THEN ['inverted_order']
+ WHEN 6 THEN ['discontinuity'] WHEN 7 THEN ['repeated_label', 'discontinuity', 'repeated_path'] WHEN 8 THEN ['bad_first'] ELSE []::VARCHAR[] END) AS rule FROM orders""")
+def validation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fault a norm, ten kinds of them."""
+    bodies = F.array(*map(F.lit, _FAULTS))
+    k = F.col("o_orderkey")
+    given = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.posexplode(F.split(F.element_at(bodies, (k % 10).cast("int") + 1), "\n")).alias("pos", "raw"))
+    return V.validate(O.outline(given)).select("doc_id", "rule").distinct()
+
+
+_PAGE = """<p>PROJETO DE LEI DO SENADO</p><p>N&ordm; 5, DE 1998</p><p>Disp&otilde;e sobre x.</p><p>O Congresso Nacional decreta:</p>
+<p>CAP&Iacute;TULO I</p><p>DO <b>PRAZO</b></p><p>Art. 1&ordm; Um <b>forte</b> e <i>leve</i>, x<sup>2</sup> &amp; <a href="urn:x">elo</a>:</p><ol><li>primeiro;</li><li>segundo.</li></ol>
+<table><tr><td>c1</td><td>c2</td></tr></table><p>Art. 2&ordm; <b>Tudo forte.</b></p><p>Art. 3&ordm; Muda:</p><p>“CAP&Iacute;TULO II</p><p>DO FIM</p><p>Art. 5&ordm; <span style="font-weight: bold">Novo</span> texto.</p><p>Art. 6&ordm; Fim.” (NR)</p>"""
+
+
+@query("""SELECT page_id AS doc_id, '<Capitulo id="cap1"><Rotulo>CAPÍTULO I</Rotulo><NomeAgrupador>DO <b>PRAZO</b></NomeAgrupador>'
+ || '<Artigo id="art1"><Rotulo>Art. 1º</Rotulo><Caput id="art1_cpt"><p>Um <b>forte</b> e <i>leve</i>, x<sup>2</sup> &amp; <span xlink:href="urn:x">elo</span>:</p>'
+ || '<Inciso id="art1_cpt_inc1"><Rotulo>I –</Rotulo><p>primeiro;</p></Inciso><Inciso id="art1_cpt_inc2"><Rotulo>II –</Rotulo><p>segundo.</p></Inciso></Caput></Artigo></Capitulo>'
+ || '<table><tr><td>c1 c2</td></tr></table>' AS part_one,
+ '<Alteracao id="art3_cpt_alt1"><Capitulo id="art3_cpt_alt1_cap2" abreAspas="s"><Rotulo>CAPÍTULO II</Rotulo><NomeAgrupador>DO FIM</NomeAgrupador>'
+ || '<Artigo id="art3_cpt_alt1_art5"><Rotulo>Art. 5º</Rotulo><Caput id="art3_cpt_alt1_art5_cpt"><p><b>Novo</b> texto.</p></Caput></Artigo>'
+ || '<Artigo id="art3_cpt_alt1_art6"><Rotulo>Art. 6º</Rotulo><Caput id="art3_cpt_alt1_art6_cpt" fechaAspas="s" notaAlteracao="NR"><p>Fim.</p></Caput></Artigo></Capitulo></Alteracao>' AS amended,
+ '<Caput id="art2_cpt"><p>Tudo forte.</p></Caput>' AS bold FROM pages""")
+def parse_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with styles, a list, a table and a quoted chapter, to XML."""
+    from normloom.operators import segment as S
+    from normloom.sources import markup, profiles, readers
+
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(markup.HTML).alias("mime"), F.lit(_PAGE).cast("binary").alias("content"))
+    parts = S.parts(readers.lines(readers.documents(pages)), profiles.find("br", "senado.federal", "projeto.lei;pls"))
+    body = R.xml_body(O.outline(S.body(parts)))
+    piece = lambda pattern: F.regexp_extract("body", pattern, 0)
+    return body.select("doc_id", piece("^<Capitulo.*</table>").alias("part_one"), piece("<Alteracao.*</Alteracao>").alias("amended"), piece('<Caput id="art2_cpt">.*?</Caput>').alias("bold"))
+
+
 _PROBLEMS = """,
 sib AS (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM own),
 problems AS (
@@ -98,7 +161,26 @@ def render_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.xml_body(_nodes(spark, sf_dir))
 
 
-@query()
+_HTML = """,
+amend AS (SELECT *, CASE WHEN amended THEN '<div class="amendment" id="' || last_id || '_alt1"><div class="article" id="' || last_id || '_alt1_art9"><p><span class="label">Art. 9º</span> “</p><div class="paragraph" id="' || last_id || '_alt1_art9_cpt"><p>Nova redação.” (NR)</p></div></div></div>' ELSE '' END AS alt FROM own),
+parts AS (
+  SELECT doc_id, seq, a, n, part, flag, alt, last_level, last_id,
+         coalesce((SELECT string_agg('<div class="clause" id="' || a || '_cpt_inc' || i || '"><p><span class="label">' || r || ' –</span> entrega ' || i || ';</p>'
+                 || CASE WHEN open AND i = clauses THEN '<div class="letter" id="' || a || '_cpt_inc' || i || '_ali1"><p><span class="label">a)</span> aberta;</p>' || CASE WHEN last_level = 140 THEN alt ELSE '' END || '</div>' ELSE '' END
+                 || CASE WHEN i = clauses AND last_level = 130 THEN alt ELSE '' END || '</div>', '' ORDER BY i) FROM roman WHERE i <= clauses), '') AS clauses_html
+  FROM amend),
+arts AS (
+  SELECT doc_id, seq, '<div class="article" id="' || a || '"><span class="label">Art. ' || n || 'º</span> <div class="paragraph" id="' || a || '_cpt"><p>Fornecer parte ' || part || ':</p>' || clauses_html
+         || CASE WHEN last_id = a || '_cpt' THEN alt ELSE '' END || '</div>'
+         || CASE flag WHEN 'A' THEN '<div class="paragraph" id="' || a || '_par1"><p><span class="label">§ 1º</span> Aceito.</p>' || alt || '</div>'
+                      WHEN 'R' THEN '<div class="paragraph" id="' || a || '_par1u"><p><span class="label">Parágrafo único.</span> Recusado.</p>' || alt || '</div>' ELSE '' END || '</div>' AS x FROM parts)
+SELECT doc_id, '<div class="chapter" id="cap' || any_value(i) || '"><p><span class="label">CAPÍTULO ' || any_value(r) || '</span> DISPOSIÇÕES ' || any_value(priority) || '</p>'
+       || string_agg(x, '' ORDER BY seq) || '</div>' AS body
+FROM arts JOIN norms USING (doc_id) JOIN roman ON i = 1 + doc_id % 9 GROUP BY doc_id
+"""
+
+
+@query(NODES_SQL + _HTML)
 def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body of every norm as nested HTML."""
     return R.html_body(_nodes(spark, sf_dir))
@@ -114,58 +196,86 @@ def debug_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     NODES_SQL
-    + """SELECT doc_id, id, CASE kind WHEN 'article' THEN 'Art. ' || num || 'º do CAPÍTULO' ELSE 'caput do Art. ' || num || 'º' END AS shown
-FROM (SELECT doc_id, id, kind, coalesce(num, CAST(regexp_extract(id, 'art(\\d+)', 1) AS INT)) AS num FROM nodes WHERE ctx = 0 AND (kind = 'article' OR id LIKE 'art%_cpt')) WHERE kind <> 'article'"""
+    + """, shown AS (SELECT doc_id, id, kind, num, is_unique, regexp_extract(id, '^art(\\d+)', 1) AS art, TRY_CAST(regexp_extract(id, '_inc(\\d+)', 1) AS INT) AS inc FROM nodes WHERE ctx = 0)
+SELECT doc_id, id, CASE WHEN kind = 'chapter' THEN 'CAPÍTULO ' || (SELECT 'DISPOSIÇÕES ' || priority FROM norms WHERE norms.doc_id = shown.doc_id)
+  WHEN kind = 'amendment' THEN 'alteração 1 da ' ELSE '' END
+  || CASE WHEN kind = 'chapter' THEN '' ELSE CASE
+      WHEN id LIKE '%_par1u%' THEN 'Parágrafo único. do ' WHEN id LIKE '%_par1%' THEN '§ 1º do '
+      WHEN id LIKE '%_ali1%' THEN 'a) da ' || (SELECT r FROM roman WHERE i = inc) || ' – do caput do '
+      WHEN inc IS NOT NULL THEN (SELECT r FROM roman WHERE i = inc) || ' – do caput do ' WHEN id LIKE '%_cpt%' THEN 'caput do ' ELSE '' END || 'Art. ' || art || 'º' END AS shown FROM shown"""
 )
 def path_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paths of capita as text, leaf first."""
-    nodes = _nodes(spark, sf_dir).where("ctx = 0 and kind = 'paragraph' and num is null")
-    return nodes.select("doc_id", "id", L.path_text(F.col("path")).alias("shown"))
+    """paths of all nodes outside of amendments as text, leaf first."""
+    return _nodes(spark, sf_dir).where("ctx = 0").select("doc_id", "id", L.path_text(F.col("path")).alias("shown"))
 
 
+#: Up to three cited norms an amendment: the first fits exactly, by prefix or not at all, the others in their own ways.
 _CITED = """,
-pairs AS (SELECT doc_id, seq, 'art' || (1 + doc_id % 9) AS u, f FROM own, (VALUES ('art9'), ('art9_cpt')) AS t(f) WHERE amended),
-classed AS (SELECT *, CASE WHEN u = f THEN 10 WHEN length(u) = length(f) THEN 0 WHEN starts_with(f, u) THEN 9 ELSE 0 END AS level FROM pairs)
+cited AS (
+  SELECT doc_id, seq, 'a' AS base, 'art' || (1 + doc_id % 9) AS u FROM own WHERE amended
+  UNION ALL SELECT doc_id, seq, 'b', 'art9_cpt_inc2' FROM own WHERE amended AND doc_id % 2 = 0
+  UNION ALL SELECT doc_id, seq, 'c', 'cap1_art9' FROM own WHERE amended AND doc_id % 3 = 0),
+classed AS (
+  SELECT *, CASE base WHEN 'a' THEN CASE WHEN u <> 'art9' THEN 0 WHEN f = 'art9' THEN 10 ELSE 9 END WHEN 'b' THEN 7 ELSE CASE f WHEN 'art9' THEN 8 ELSE 4 END END AS level,
+         CASE base WHEN 'c' THEN 'cap1_' ELSE '' END AS complement
+  FROM cited, (VALUES ('art9'), ('art9_cpt')) AS t(f)),
+chosen AS (SELECT doc_id, seq, CASE WHEN doc_id % 9 = 8 THEN 'a' WHEN doc_id % 3 = 0 THEN 'c' WHEN doc_id % 2 = 0 THEN 'b' ELSE 'a' END AS base FROM own WHERE amended),
+best AS (SELECT classed.* FROM classed JOIN chosen USING (doc_id, seq, base))
 """
+_BASE_SQL = "CASE base WHEN 'a' THEN 'urn:lex:br:federal:lei:' || (1990 + doc_id % 20) || ';' || (doc_id + 1) WHEN 'b' THEN 'urn:lex:br:federal:lei:2011-05-02;77' ELSE 'urn:lex:br:federal:lei:2012;78' END"
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One reference for each amendment of a norm, and the amendment's fragments."""
-    nodes = _nodes(spark, sf_dir).withColumn("links", F.array(F.concat(F.lit("urn:lex:br:federal:lei:"), (1990 + F.col("doc_id") % 20).cast("string"), F.lit(";"), (F.col("doc_id") + 1).cast("string"), F.lit("!art"), (1 + F.col("doc_id") % 9).cast("string"))))
-    return M.amendment_links(nodes)
+    """One to three references for each amendment of a norm, and the amendment's fragments."""
+    k = F.col("doc_id")
+    first = F.concat(F.lit("urn:lex:br:federal:lei:"), (1990 + k % 20).cast("string"), F.lit(";"), (k + 1).cast("string"), F.lit("!art"), (1 + k % 9).cast("string"))
+    more = [F.when(k % 2 == 0, F.lit("urn:lex:br:federal:lei:2011-05-02;77!art9_cpt_inc2")), F.when(k % 3 == 0, F.lit("urn:lex:br:federal:lei:2012;78!cap1_art9"))]
+    return M.amendment_links(_nodes(spark, sf_dir).withColumn("links", F.array_compact(F.array(first, *more))))
 
 
-@query(NODES_SQL + _CITED + "SELECT level, f AS fragment, u = f AS same, count(*) AS n FROM classed GROUP BY ALL")
+@query(NODES_SQL + _CITED + "SELECT u AS cited, f AS fragment, level, complement, count(*) AS n FROM classed GROUP BY ALL")
 def match_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of each amendment's provision against its fragments."""
+    """References of each amendment's provision against its fragments, five of the classes."""
     cited, fragments = _cited(spark, sf_dir)
     found = M.matches(cited, fragments, ["doc_id", "run_parent"])
-    return found.groupBy("level", "fragment", (F.col("cited") == F.col("fragment")).alias("same")).agg(F.count("*").alias("n"))
+    return found.groupBy("cited", "fragment", "level", "complement").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k, 'art' || (o_custkey % 7 + 1) AS u FROM orders)
+SELECT u AS cited, f AS fragment, CASE c WHEN 'x' THEN 10 WHEN 'p' THEN 9 WHEN 'n' THEN 6 ELSE 0 END AS level,
+ CASE WHEN f LIKE 'par%' THEN u || '_' WHEN f LIKE 'inc%' THEN u || '_cpt_' ELSE '' END AS complement, count(*) AS n
+FROM p, LATERAL (SELECT unnest([u, u || '_par1', 'par1', 'inc2', 'cap1', 'par1u']) AS f, unnest(['x', 'p', 'n', 'n', 'z', 'n']) AS c) GROUP BY ALL""")
+def match_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An article cited, and provisions that fit it exactly, by prefix, as neighbours or not."""
+    cited = F.concat(F.lit("art"), (F.col("o_custkey") % 7 + 1).cast("string"))
+    fragments = F.array(F.col("cited"), F.concat("cited", F.lit("_par1")), *map(F.lit, ("par1", "inc2", "cap1", "par1u")))
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(cited.alias("cited")).select("cited", F.explode(fragments).alias("fragment"))
+    return df.withColumn("m", M.classify(F.col("cited"), F.col("fragment"))).groupBy("cited", "fragment", "m.level", "m.complement").agg(F.count("*").alias("n"))
 
 
 @query(
     NODES_SQL
     + _CITED
-    + """SELECT doc_id, 'urn:lex:br:federal:lei:' || (1990 + doc_id % 20) || ';' || (doc_id + 1) AS base, count(*) AS n_amendments,
-       sum(e) AS n_exact, sum(p) AS n_prefix, sum(z) AS n_none
-FROM (SELECT doc_id, seq, sum(CASE level WHEN 10 THEN 1 ELSE 0 END) AS e, sum(CASE level WHEN 9 THEN 1 ELSE 0 END) AS p, sum(CASE level WHEN 0 THEN 1 ELSE 0 END) AS z FROM classed GROUP BY doc_id, seq) GROUP BY doc_id"""
+    + f"""SELECT doc_id, {_BASE_SQL} AS base, count(DISTINCT seq) AS n_amendments, count(*) FILTER (level = 10) AS n_exact, count(*) FILTER (level = 9) AS n_prefix,
+       count(*) FILTER (level = 8) AS n_suffix, count(*) FILTER (level = 7) AS n_superprefix, count(*) FILTER (level = 4) AS n_partial, count(*) FILTER (level = 0) AS n_none FROM best GROUP BY doc_id, base"""
 )
 def match_best_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best base of each amendment, summed by norm."""
+    """The best of up to three bases of each amendment, with the counts of its classes, summed by norm."""
     keys = ["doc_id", "run_parent"]
     cited, fragments = _cited(spark, sf_dir)
     best = M.best_base(M.best_matches(M.matches(cited, fragments, keys), keys), keys)
-    return best.groupBy("doc_id", "base").agg(F.count("*").alias("n_amendments"), *(F.sum(c).alias(c) for c in ("n_exact", "n_prefix", "n_none")))
+    counts = ("n_exact", "n_prefix", "n_suffix", "n_superprefix", "n_partial", "n_none")
+    return best.groupBy("doc_id", "base").agg(F.count("*").alias("n_amendments"), *(F.sum(c).alias(c) for c in counts))
 
 
-@query(NODES_SQL + _CITED + "SELECT doc_id, f AS own_fragment, f AS full_fragment, count(*) AS n FROM classed GROUP BY ALL")
+@query(NODES_SQL + _CITED + f"SELECT doc_id, {_BASE_SQL} AS base, f AS own_fragment, complement || f AS full_fragment, count(*) AS n FROM best GROUP BY ALL")
 def match_rewritten_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of amendments under their best base."""
+    """Fragments of amendments under their best base."""
     keys = ["doc_id", "run_parent"]
     cited, fragments = _cited(spark, sf_dir)
     best = M.best_matches(M.matches(cited, fragments, keys), keys)
     full = M.rewritten(best, M.best_base(best, keys), keys)
-    return full.groupBy("doc_id", F.col("fragment").alias("own_fragment"), "full_fragment").agg(F.count("*").alias("n"))
+    return full.groupBy("doc_id", "base", F.col("fragment").alias("own_fragment"), "full_fragment").agg(F.count("*").alias("n"))
 
 
 _LEVELS = "(VALUES (10),(20),(30),(40),(50),(60),(70),(80),(110),(120),(130),(140),(150),(160),(1000)) AS t(k)"
@@ -180,7 +290,13 @@ def level_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment(spark)
 
 
-@query()
+@query("""SELECT CAST(kind AS VARCHAR) AS kind, CAST(level AS INT) AS level, prefix, word, label_group, CAST(many AS INT) AS many, in_word, of_word FROM (VALUES
+ ('part', 10, 'prt', 'PARTE', 'grouping', 1, 'na', 'da'), ('book', 20, 'liv', 'LIVRO', 'grouping', 1, 'no', 'do'), ('title', 30, 'tit', 'TÍTULO', 'grouping', 1, 'no', 'do'),
+ ('subtitle', 40, 'stt', 'SUBTÍTULO', 'grouping', 1, 'no', 'do'), ('chapter', 50, 'cap', 'CAPÍTULO', 'grouping', 1, 'no', 'do'), ('subchapter', 60, 'sct', 'SUB-CAPÍTULO', 'grouping', 1, 'no', 'do'),
+ ('section', 70, 'sec', 'Seção', 'grouping', 1, 'na', 'da'), ('subsection', 80, 'sub', 'Subseção', 'grouping', 1, 'na', 'da'), ('article', 110, 'art', 'Art.', 'unit', 1, 'no', 'do'),
+ ('paragraph', 120, 'par', '§', 'unit', 2, 'no', 'do'), ('clause', 130, 'inc', 'inciso', 'unit', 0, 'no', 'do'), ('letter', 140, 'ali', 'alínea', 'unit', 0, 'na', 'da'),
+ ('item', 150, 'ite', 'item', 'unit', 0, 'no', 'do'), ('penalty', 160, 'pena', 'Pena', 'unit', 0, 'na', 'da'), ('generic', 160, 'dpg', '', 'unit', 0, 'no', 'do'),
+ ('amendment', 1000, 'alt', '', 'neither', 0, 'na', 'da')) AS t(kind, level, prefix, word, label_group, many, in_word, of_word)""")
 def level_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1.3: the classes of labels."""
     return levels(spark)

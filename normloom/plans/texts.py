@@ -33,9 +33,12 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"
 
 
-@query(f"""WITH {_LINES}, p AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS par FROM l),
+_PARAGRAPHS = f"""WITH {_LINES}, p AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS par FROM l),
  j AS (SELECT doc_id, par, string_agg(trim(line), ' ' ORDER BY n) AS raw FROM p WHERE trim(line) <> '' GROUP BY doc_id, par)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY par) - 1 AS pos, raw FROM j""")
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY par) - 1 AS pos, raw FROM j"""
+
+
+@query(_PARAGRAPHS)
 def ingest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of plain texts."""
     return S.paragraphs(table(spark, sf_dir, "documents"))
@@ -81,17 +84,6 @@ def ingest_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("doc_id").agg(F.count_if("linked").alias("n_items"), F.max(F.when(~F.col("linked") & (F.col("nth") == 2), F.col("raw"))).alias("heading"))
 
 
-@query("SELECT page_id AS doc_id, true AS has_blocks, 0 AS problems FROM pages UNION ALL SELECT 1000000 + doc_id, false, 1 FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 2000000 + doc_id, true, 0 FROM documents WHERE doc_id % 10 = 1")
-def ingest_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by MIME type; unknown types are problem 15."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(M.HTML).alias("mime"), F.col("html").cast("binary").alias("content"))
-    texts = table(spark, sf_dir, "documents")
-    odd = texts.where("doc_id % 10 = 0").select((1000000 + F.col("doc_id")).alias("doc_id"), F.lit("image/png").alias("mime"), F.col("text").cast("binary").alias("content"))
-    plain = texts.where("doc_id % 10 = 1").select((2000000 + F.col("doc_id")).alias("doc_id"), F.lit(M.TEXT).alias("mime"), F.col("text").cast("binary").alias("content"))
-    found = S.documents(pages.unionByName(odd).unionByName(plain))
-    return found.groupBy("doc_id").agg((F.count("raw") > 0).alias("has_blocks"), F.count_if(F.col("problem") == 15).alias("problems"))
-
-
 @query("""SELECT 3 * page_id AS doc_id, true AS has_blocks, 0 AS problems FROM pages UNION ALL SELECT 3 * doc_id + 1, false, 1 FROM documents
 UNION ALL SELECT 3 * doc_id + 2, true, 0 FROM documents WHERE regexp_matches(text, '\\S')""")
 def ingest_all_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +103,13 @@ def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(X.may_be_title(F.col("raw")).cast("int")).alias("n_titles"), F.sum(X.closes_quote(F.col("norm")).cast("int")).alias("n_closing"), F.sum(X.opens_quote(F.col("norm")).cast("int")).alias("n_opening"))
 
 
-_RULES = [("^the ", "article first"), ("[0-9]{4}", "number"), (r"\bidiot\b", "insult")]
+_RULES = ["# a comment", "/(?i)^the /,article first", "", "!([0-9])[0-9]{3}!, number ", "not a rule", r"|\bidiot\b|,insult", "/open,none"]
 
 
-@query("SELECT message, count(*) AS n FROM documents, (VALUES ('(?i)^the ', 'article first'), ('[0-9]{4}', 'number'), ('\\bidiot\\b', 'insult')) AS r(pattern, message) WHERE regexp_matches(text, pattern) GROUP BY message")
+@query("SELECT message, count(*) AS n FROM documents, (VALUES ('(?i)^the ', 'article first'), ('[0-9][0-9]{3}', 'number'), ('\\bidiot\\b', 'insult')) AS r(pattern, message) WHERE regexp_matches(text, pattern) GROUP BY message")
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule that a text matches."""
-    rules = spark.createDataFrame([("(?i)^the ", "article first"), *_RULES[1:]], "pattern string, message string")
+    rules = S.rules_of(spark.createDataFrame([(x,) for x in _RULES], "value string"))
     return S.classified(table(spark, sf_dir, "documents").select("text"), rules).groupBy("message").agg(F.count("*").alias("n"))
 
 
@@ -159,14 +151,6 @@ def collapsed_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.collapse_empty(lines).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("raw") == "").alias("n_empty"))
 
 
-@query("SELECT doc_id, text LIKE '%http%' AS any_link, doc_id AS first_pos FROM documents WHERE false")
-def block_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Existence and first match over a document's blocks (none of these texts has a link)."""
-    lines = S.listed(table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines")))
-    found = U.exists_first(lines, F.col("raw").contains("http://no-such"))
-    return found.where("any_").select("doc_id", F.col("any_").alias("any_link"), F.col("first_pos").cast("long").alias("first_pos"))
-
-
 @query(f"WITH {_LINES} SELECT doc_id, bool_or(contains(line, 'the ')) AS any_, min(CASE WHEN contains(line, 'the ') THEN n - 1 END) AS first_pos FROM l GROUP BY doc_id")
 def block_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existence and first match over the blocks of every document, of which some match."""
@@ -182,7 +166,7 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count_if((kind == "item") | ((kind == "letter") & X.normalize(F.col("raw")).rlike("^[0-9]"))).alias("n_items"))
 
 
-@query()
+@query(_PARAGRAPHS)
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """7.3 step 10: documents read as a stream of files, each batch's paragraphs appended once."""
     from normloom.streaming.ingest import ingest_once

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import unicodedata
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -25,6 +26,7 @@ def merge_runs(runs: list[Run]) -> list[Run]:
     """Runs of one style joined, white space collapsed across them and trimmed at the ends."""
     out: list[Run] = []
     for text, *style in runs:
+        text = unicodedata.normalize("NFC", text)
         text = " ".join(f"|{text}|".split())[1:-1] if text.strip() else (" " if text else "")
         if out and out[-1][0].endswith(" "):
             text = text.lstrip(" ")
@@ -80,8 +82,11 @@ class _Reader(HTMLParser):
             self.blocks.append(("image", [], None))
         elif tag == "br":
             self.runs.append((" ", False, False, False, False, None))
-        elif (tag in _PARAGRAPHS or tag in _PLAIN) and not self.table:
-            self.flush()
+        elif tag in _PARAGRAPHS or tag in _PLAIN:
+            if self.table:  # cells and their paragraphs are apart
+                self.runs.append((" ", False, False, False, False, None))
+            else:
+                self.flush()
         elif tag not in _VOID:
             style = {"b": tag in ("b", "strong"), "i": tag in ("i", "em"), "sup": tag == "sup", "sub": tag == "sub"}
             if tag == "span" and given.get("style"):

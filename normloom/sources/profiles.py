@@ -15,10 +15,17 @@ JUSTIFICATION = ["^justificacao", "^justificativa", "^j u s t i f i c a c a o",
 ANNEX = ["^anexo", "a n e x o"]
 CITED_LAW = ["^legislacao citada", "^l e g i s l a c a o c i t a d a"]
 SIGNATURE = ["^senadora? "]
-HEADING_START = ["^(?:red[0-9]+; ?)?(?:substitutivo a[o]? )?projeto de lei", "^(?:red[0-9]+; ?)?(?:substitutivo a[o]? )?projeto de decreto legislativo", "^(?:red[0-9]+; ?)?(?:proposta|projeto) de emenda", "^(?:red[0-9]+; ?)?projeto de resolu"]
-HEADING_MORE = ["^n[oº°˚]", "^complementar"]
-POST_HEADING = [r"^\(.*\)$", r"^autor(?:a)?:", "^autoria d", "^(?:d[oa] )?senador"]
-PREAMBLE = ["^o congresso nacional (?:decreta|resolve|promulga)", "^o senado federal (?:decreta|resolve|promulga)", "^a camara dos deputados (?:decreta|resolve|promulga)", "^[oa] (?:vice-)?president[ea] d[oa] (?:republica|senado federal|supremo tribunal federal|camara dos deputados)", "^as? mesas? d", "^faco saber que"]
+HEADING_START = [r"^\s*(red\d+;+)?(substitutivo (ao|a)\s+)?(projeto( de)? (lei|decreto legislativo)|(proposta|projeto) de emenda|projeto de resolu)"]
+HEADING_MORE = ["^(n[oº°˚]|complementar)"]
+POST_HEADING = [r"^\s*(\(.*\)|autora?:.*|autoria d.*|(d[oa] )?senador.*)\s*$"]
+PREAMBLE = [
+    "^[ao] (congress+o nacional|senado federal|camara dos deputados) (decret[oa]|resolve|promulg[oa])",
+    "^[ao] president[ae] (da republica|do senado|do supremo tribunal|da camara)",
+    "^[ao] vice-president[ae] da republica",
+    "^as? mesas?",
+    "^faco saber que [oa] president[ea] da republica",
+    "^faco saber que o congresso nacional rejeitou",
+]
 NORM_HEADINGS = {"lei": "^lei n", "lei.complementar": "^lei complementar", "lei.delegada": "^lei delegada", "decreto.lei": "^decreto-lei", "decreto": "^decreto n", "decreto.legislativo": "^decreto legislativo", "emenda.constitucional": "^emenda constitucional", "emenda.constitucional.revisao": "^emenda constitucional de revisao", "medida.provisoria": "^medida provisoria", "constituicao": "^constituicao", "ato.disposicoes.constitucionais.transitorias": "^ato das disposicoes", "resolucao": "^resolucao", "regimento.interno": "^regimento interno"}
 
 
@@ -49,24 +56,55 @@ class Profile:
         return "|".join(f"(?:{p})" for p in getattr(self, group)) or "(?!)"
 
 
-#: Built-in keys by authority (fixed values): * heading optional, 0 summary optional, P draft, ! no text before the heading.
-_BUILT_IN = {
-    "senado.federal": ["projeto.lei;pls P", "projeto.lei;plc *P", "proposta.emenda.constitucional;pec P", "projeto.resolucao;prs P", "projeto.decreto.legislativo;pds *P!", "projeto.decreto.legislativo;pdc *P", "projeto.decreto.legislativo;pdl *P", "projeto.lei.complementar;pls P", "projeto.lei.complementar;plc *P", "projeto.lei;pl *P", "projeto.lei.complementar;plp *P", "resolucao", "regimento.interno 0"],
-    "camara.deputados": ["projeto.decreto.legislativo;pdl *P", "projeto.lei;pl *P", "projeto.lei.complementar;plp *P", "projeto.resolucao *P", "resolucao", "regimento.interno 0"],
-    "congresso.nacional": ["projeto.lei;pln *P", "medida.provisoria;mpv P", "decreto.legislativo", "resolucao", "regimento.interno 0", "projeto.lei.conversao;plv *P"],
-    "federal": ["lei", "lei.complementar", "lei.delegada", "decreto.lei", "decreto", "decreto.legislativo", "emenda.constitucional", "emenda.constitucional.revisao 0", "medida.provisoria", "constituicao 0", "ato.disposicoes.constitucionais.transitorias 0"],
-}
+def _profile(authority: str, type_: str, **policies: bool) -> Profile:
+    name = type_.partition(";")[0]
+    start = (NORM_HEADINGS[name],) if name in NORM_HEADINGS else tuple(HEADING_START)
+    return Profile("br", authority, type_, heading_start=start, heading_head=name.replace(".", " ").upper(), **policies)
 
 
 def built_in() -> list[Profile]:
-    out = []
-    for authority, keys in _BUILT_IN.items():
-        for key in keys:
-            type_, _, flags = key.partition(" ")
-            name = type_.partition(";")[0]
-            start = (NORM_HEADINGS[name],) if name in NORM_HEADINGS else tuple(HEADING_START)
-            out.append(Profile("br", authority, type_, heading_start=start, heading_optional="*" in flags, summary_optional="0" in flags, is_draft="P" in flags, pre_heading_allowed="!" not in flags, heading_head=name.replace(".", " ").upper()))
-    return out
+    """The profiles that need no configuration (fixed values)."""
+    senate, chamber, congress, union = "senado.federal", "camara.deputados", "congresso.nacional", "federal"
+    draft, late = {"is_draft": True}, {"is_draft": True, "heading_optional": True}
+    bare = {"summary_optional": True}
+    return [
+        _profile(senate, "projeto.lei;pls", **draft),
+        _profile(senate, "projeto.lei;plc", **late),
+        _profile(senate, "proposta.emenda.constitucional;pec", **draft),
+        _profile(senate, "projeto.resolucao;prs", **draft),
+        _profile(senate, "projeto.decreto.legislativo;pds", pre_heading_allowed=False, **late),
+        _profile(senate, "projeto.decreto.legislativo;pdc", **late),
+        _profile(senate, "projeto.decreto.legislativo;pdl", **late),
+        _profile(senate, "projeto.lei.complementar;pls", **draft),
+        _profile(senate, "projeto.lei.complementar;plc", **late),
+        _profile(senate, "projeto.lei;pl", **late),
+        _profile(senate, "projeto.lei.complementar;plp", **late),
+        _profile(senate, "resolucao"),
+        _profile(senate, "regimento.interno", **bare),
+        _profile(chamber, "projeto.decreto.legislativo;pdl", **late),
+        _profile(chamber, "projeto.lei;pl", **late),
+        _profile(chamber, "projeto.lei.complementar;plp", **late),
+        _profile(chamber, "projeto.resolucao", **late),
+        _profile(chamber, "resolucao"),
+        _profile(chamber, "regimento.interno", **bare),
+        _profile(congress, "projeto.lei;pln", **late),
+        _profile(congress, "medida.provisoria;mpv", **draft),
+        _profile(congress, "decreto.legislativo"),
+        _profile(congress, "resolucao"),
+        _profile(congress, "regimento.interno", **bare),
+        _profile(congress, "projeto.lei.conversao;plv", **late),
+        _profile(union, "lei"),
+        _profile(union, "lei.complementar"),
+        _profile(union, "lei.delegada"),
+        _profile(union, "decreto.lei"),
+        _profile(union, "decreto"),
+        _profile(union, "decreto.legislativo"),
+        _profile(union, "emenda.constitucional"),
+        _profile(union, "emenda.constitucional.revisao", **bare),
+        _profile(union, "medida.provisoria"),
+        _profile(union, "constituicao", **bare),
+        _profile(union, "ato.disposicoes.constitucionais.transitorias", **bare),
+    ]
 
 
 _ROW = "locality string, authority string, type string, " + ", ".join(f"{g} array<string>" for g in ("place_date", "justification", "annex", "cited_law", "signature", "heading_start", "heading_more", "post_heading", "preamble")) + ", heading_optional boolean, pre_heading_allowed boolean, summary_optional boolean, heading_head string, heading_tail string, heading_template string, is_draft boolean"
@@ -106,7 +144,7 @@ def overrides_from_json(text: Column) -> Column:
 def with_overrides(profiles_: DataFrame, given: DataFrame) -> DataFrame:
     """Profiles with overrides by key; given: locality, authority, type, json."""
     parsed = given.select("locality", "authority", "type", overrides_from_json(F.col("json")).alias("o"))
-    joined = profiles_.join(F.broadcast(parsed), ["locality", "authority", "type"], "left")
+    joined = profiles_.join(parsed, ["locality", "authority", "type"], "left")
     return joined.select("locality", "authority", "type", *(F.coalesce(F.col(f"o.{c}"), F.col(c)).alias(c) for c in OVERRIDABLE))
 
 

@@ -69,26 +69,37 @@ def xml_paragraphs(df: DataFrame, text: str = "xml") -> DataFrame:
 
 
 def documents(df: DataFrame, converters: dict | None = None) -> DataFrame:
-    """Blocks of documents by MIME type; plain text stays in the JVM, the rest is parsed in one Python pass."""
+    """Blocks of documents by MIME type, parsed in one Python pass; texts that are columns already go to `paragraphs`."""
     return M.blocks(df, converters)
 
 
 def lines(blocks: DataFrame) -> DataFrame:
-    """Blocks as lines of an outline: doc_id, pos, raw, list_item."""
-    return blocks.where("problem is null").select("doc_id", "pos", F.coalesce("raw", F.lit("")).alias("raw"), "list_item")
+    """Blocks as lines of an outline: doc_id, pos, raw, list_item, block (paragraph, table or image), runs."""
+    return blocks.where("problem is null").select("doc_id", "pos", F.coalesce("raw", F.lit("")).alias("raw"), "list_item", F.col("kind").alias("block"), "runs")
 
 
 def conversion_problems(blocks: DataFrame) -> DataFrame:
     return blocks.where("problem is not null").select("doc_id", F.col("problem").alias("code"))
 
 
+#: Rules that a text may be held against at once; each is tried on each text.
+MOST_RULES = 10_000
+
+
 def regex_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of lines /pattern/,message with any delimiter; comments and malformed lines are skipped."""
+    """Rules of the lines of files."""
+    return rules_of(spark.read.text(path))
+
+
+def rules_of(lines_: DataFrame) -> DataFrame:
+    """Rules of lines /pattern/,message (column value) with any delimiter; comments and malformed lines are skipped."""
     form = r"^([^#\w\s])(.+)\1,(.*)$"
-    df = spark.read.text(path).where(F.col("value").rlike(form))
+    df = lines_.where(F.col("value").rlike(form))
     return df.select(F.regexp_extract("value", form, 2).alias("pattern"), F.trim(F.regexp_extract("value", form, 3)).alias("message"))
 
 
 def classified(texts: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """Every (row, rule) whose pattern the text matches; the rules are a small constant table."""
+    """Every (row, rule) whose pattern the text matches; the rules, counted, go to every text."""
+    if rules.count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     return texts.join(F.broadcast(rules), F.expr(f"{text} rlike pattern"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,10 +27,19 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str, schema
 
 
 def ingest_once(spark: SparkSession, source: str) -> DataFrame:
-    """Paragraphs of all files now below `source`, by way of the stream."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingest")
+    """Paragraphs of all files now below `source`, by way of the stream.
+
+    State and results are in the folder that `spark.checkpoint.dir` names; only
+    a session of one machine without it, such as a test, uses a temporary one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="ingest")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     folder = f"{base}/ingest-{uuid.uuid4().hex}"
-    if not source.rstrip("/").endswith("/") and os.path.isfile(source.removeprefix("file://")):
-        source = f"{os.path.dirname(source)}/{os.path.basename(source)}*"  # a stream reads folders or patterns
-    start(spark, source, f"{folder}/out", f"{folder}/state").awaitTermination()
+    source = source.rstrip("/")
+    # a stream reads folders or patterns: this pattern is the source itself, file or folder
+    start(spark, f"{source[:-1]}[{source[-1]}]", f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "pos", "raw")

@@ -1,6 +1,7 @@
 """Outline, amendments, validation, matching, rendering and parts."""
 
 import random
+import re
 import zipfile
 from io import BytesIO
 from xml.etree import ElementTree
@@ -14,6 +15,7 @@ from normloom.operators import render as R
 from normloom.operators import segment as S
 from normloom.operators import validate as V
 from normloom.sources import profiles as P
+from normloom.sources import readers
 
 TEXT = """CAPÍTULO I
 DISPOSIÇÕES GERAIS
@@ -70,8 +72,8 @@ def test_one_shuffle(spark):
 
 def test_stray_paragraph_cuts_the_outline(spark):
     rows = {r.id: r for r in outline(spark, "Art. 1º Um.\nSolto. Fim.\n§ 1º Dois.").collect()}
-    assert rows["par1"].parent_at is None if "par1" in rows else True
-    assert any(r.unit == "paragraph" for r in rows.values())
+    assert set(rows) == {"art1", "art1_cpt", None, "par1"}
+    assert rows["par1"].parent_at is None and rows[None].unit == "paragraph"
 
 
 def test_parts_and_generics_are_numbered(spark):
@@ -188,6 +190,58 @@ def test_rendering(spark):
         assert z.namelist() == ["proposicao.xml", "texto.xml"] and z.comment == b"LEI 1"
 
 
+def test_a_quoted_chapter_holds_its_articles(spark):
+    text = "Art. 1º Muda:\n“CAPÍTULO II\nDO PRAZO\nArt. 5º Um:\nI - dois;\nArt. 6º Três.” (NR)\nArt. 2º Fim."
+    root = ElementTree.fromstring(f"<a>{R.xml_body(outline(spark, text)).first().body}</a>")
+    chapter = root.find("Artigo/Caput/Alteracao/Capitulo")
+    assert [x.get("id") for x in chapter.findall("Artigo")] == ["art1_cpt_alt1_art5", "art1_cpt_alt1_art6"]
+    assert chapter.find("Artigo/Caput/Inciso/p").text == "dois;" and len(root.findall("Artigo")) == 2
+
+
+def test_depth_has_no_bound(spark):
+    above = ["PARTE GERAL", "LIVRO I", "TÍTULO I", "SUBTÍTULO I", "CAPÍTULO I", "SUBCAPÍTULO I", "SEÇÃO I", "SUBSEÇÃO I"]
+    units = ["Art. 1º Um:", "§ 1º a:", "I - b:", "a) c:", "1. d:"]
+    quoted = ["“" + above[0], *above[1:], *units[:-1], "1. fim.” (NR)"]
+    body = R.xml_body(outline(spark, "\n".join([*above, *units, *quoted]))).first().body
+    depth = lambda e: 1 + max((depth(x) for x in e), default=0)
+    assert depth(ElementTree.fromstring(f"<a>{body}</a>")) >= 2 * 13 + 2
+
+
+def test_amended_summary(spark):
+    rows = outline(spark, "Art. 1º A ementa passa a ser:\n“Dispõe sobre x.” (NR)\nArt. 2º O art. 5º muda:\n“Texto solto.” (NR)")
+    marked = O.summaries(rows)
+    assert [(r.content, r.klass) for r in marked.where("unit = 'paragraph'").orderBy("at").collect()] == [("Dispõe sobre x.", "summary"), ("Texto solto.", None)]
+    root = ElementTree.fromstring(f"<a>{R.xml_body(marked).first().body}</a>")
+    assert root.find("Artigo/Caput/Alteracao/Ementa").get("id") == "art1_cpt_alt1_ementa"
+    assert [p.code for p in V.validate(marked).collect() if p.code == 16] == [16]
+
+
+def test_tables_and_images_reach_the_outline(spark):
+    html = b"<p>Art. 1&ordm; Um,</p><table><tr><td>t</td></tr></table><p>Solto. Fim.</p><img src=x><p>Art. 2&ordm; Dois.</p>"
+    blocks = readers.documents(readers.bytes_of(spark, html, "text/html", 1))
+    nodes = O.outline(readers.lines(blocks))
+    assert [r.kind for r in nodes.orderBy("at").collect()] == ["article", "paragraph", "table", "paragraph", "image", "article", "paragraph"]
+    assert 21 in {r.code for r in V.validate(nodes).collect()}
+    flags = O.feature_flags(nodes).first().features
+    assert flags["table"] and flags["image"]
+    assert "<table><tr><td>t</td></tr></table>" in R.xml_body(nodes).first().body
+
+
+def test_bases_are_ranked_by_partial_before_neighbour(spark):
+    keys = ["doc_id", "run_parent"]
+    rows = [(1, 7, "a", None, None, None, "f", 6, "u"), (1, 7, "b", None, None, None, "f", 4, "u"), (1, 8, "a", None, None, None, "f", 0, "u"), (1, 8, "b", None, None, None, "f", 4, "u")]
+    best = spark.createDataFrame(rows, "doc_id long, run_parent int, base string, year int, month int, day int, fragment string, level int, urn string")
+    assert {r.run_parent: r.base for r in M.best_base(best, keys).collect()} == {7: "b", 8: "b"}
+
+
+@pytest.mark.parametrize(
+    "text, group, there",
+    [("projeto lei n", "heading_start", True), ("red1;;substitutivo ao projeto de decreto legislativo", "heading_start", True), ("o congressso nacional decreto", "preamble", True), ("a camara dos deputados promulgo", "preamble", True), ("faco saber que ele", "preamble", False), ("faco saber que o presidente da republica", "preamble", True), ("autora: x", "post_heading", True), ("nº 5", "heading_more", True)],
+)
+def test_default_patterns(text, group, there):
+    assert bool(re.search(P.find("br", "senado.federal", "projeto.lei;pls").pattern(group), text)) == there
+
+
 def test_parts(spark):
     profile = P.find("br", "senado.federal", "projeto.lei;pls")
     bill = "SENADO\nPROJETO DE LEI DO SENADO\nNº 5, DE 1998\n(Do Senador)\nDispõe sobre x.\nO Congresso Nacional decreta:\nArt. 1º Um.\nSala das Sessões\nDito.\nJUSTIFICAÇÃO\nMais.\nJUSTIFICAÇÃO"
