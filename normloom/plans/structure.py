@@ -201,7 +201,7 @@ SELECT doc_id, id, CASE WHEN kind = 'chapter' THEN 'CAPÍTULO ' || (SELECT 'DISP
   WHEN kind = 'amendment' THEN 'alteração 1 da ' ELSE '' END
   || CASE WHEN kind = 'chapter' THEN '' ELSE CASE
       WHEN id LIKE '%_par1u%' THEN 'Parágrafo único. do ' WHEN id LIKE '%_par1%' THEN '§ 1º do '
-      WHEN id LIKE '%_ali1%' THEN 'a) da ' || (SELECT r FROM roman WHERE i = inc) || ' – do caput do '
+      WHEN id LIKE '%_ali1%' THEN 'a) do ' || (SELECT r FROM roman WHERE i = inc) || ' – do caput do '
       WHEN inc IS NOT NULL THEN (SELECT r FROM roman WHERE i = inc) || ' – do caput do ' WHEN id LIKE '%_cpt%' THEN 'caput do ' ELSE '' END || 'Art. ' || art || 'º' END AS shown FROM shown"""
 )
 def path_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
