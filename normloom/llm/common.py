@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have; beyond it the plans shuffle both sides.
 BROADCAST_ROWS = 1_000_000
-#: Keys that may each hold over 1 / HOT of all rows, and so are joined by broadcast.
-HOT = 2000
+#: Keys that hold over 1 / HOT of all rows each, and LEAST_HOT rows, are joined by broadcast.
+HOT, LEAST_HOT = 500, 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,7 @@ def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-def skew_join(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+def skew_join(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of `rows` with one row a key, of which a few may have a great share of the rows.
 
     keyed: the keys, values, and n, the rows of each key; n is not in the
@@ -73,9 +73,10 @@ def skew_join(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int | N
     are broadcast and their rows stay where they are; the others are shuffled.
     Both inputs should be cut, since they are read twice.
     """
-    total = keyed.agg(F.sum("n")).first()[0] if total is None else total
-    hot = keyed.where(F.col("n") > (total or 0) / HOT)
-    if not hot.head(1):
+    sizes = keyed.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    bound = (sizes["total"] or 0) / HOT
+    if (sizes["most"] or 0) <= max(bound, LEAST_HOT):
         return rows.join(keyed.drop("n"), keys)
-    mild = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col("n") <= total / HOT).drop("n"), keys)
-    return rows.join(F.broadcast(hot.drop("n")), keys).unionByName(mild)
+    hot = F.col("n") > max(bound, LEAST_HOT)
+    mild = rows.join(F.broadcast(keyed.where(hot).select(*keys)), keys, "left_anti").join(keyed.where(~hot).drop("n"), keys)
+    return rows.join(F.broadcast(keyed.where(hot).drop("n")), keys).unionByName(mild)

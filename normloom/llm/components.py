@@ -2,8 +2,7 @@
 
 Only edges are kept, never more than there were at first; each round is cut
 from its lineage in the shared folder, so a lost executor costs one round.  The
-edges of a node with a great share of them stay where they are: its least
-neighbour is sent to them.
+joins are not broadcast, since each round's would pass through the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normloom.llm.common import cut, skew_join
+from normloom.llm.common import cut
+
+#: Tasks among which the edges of one node are dealt in a large star.
+SALTS = 16
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -19,21 +21,20 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Each u with its least neighbour m and its number of edges."""
-    return cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).withColumn("m", F.least("u", "m"))
-    return skew_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Every larger neighbour of a node to the least of its neighbours and itself; a hub's edges go to SALTS tasks."""
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    parts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    larger = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return larger.join(parts.hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = _least(edges)
-    moved = skew_join(edges, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    """Every smaller neighbour of a node, and the node, to the least of them; after a large star these are few."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    # the edge to the least stays, the others lead from it
+    return edges.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,4 +49,4 @@ def components(edges: DataFrame) -> DataFrame:
         if (now["n"], now["h"]) == mark or not now["n"]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (now["n"], now["h"])
-        state = cut(_tidy(_small_star(cut(_tidy(_large_star(state))))))
+        state = cut(_tidy(_small_star(_tidy(_large_star(state)))))

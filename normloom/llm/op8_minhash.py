@@ -155,15 +155,15 @@ def links(sets: list[np.ndarray], bands: np.ndarray, percent: int = PERCENT) ->
 def confirmed(units: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) between classes of one unit; units: unit, member, bands, text."""
 
-    def edges(ids: list[int], sets: list[np.ndarray], bands: list[bytes]) -> pa.RecordBatch:
-        keys = np.frombuffer(b"".join(bands), np.uint32).reshape(len(bands), BANDS)
-        pairs = links(sets, keys, percent) if len(ids) > 1 else []
+    def edges(ids: list[int], sets: list[np.ndarray], bands: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = links(sets, np.concatenate(bands), percent)
         return pa.RecordBatch.from_arrays([pa.array([ids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, sets, bands = None, [], [], []
         for batch in batches:  # sorted by unit; what stays of a text is its set
-            names, members, keys = (batch.column(c).to_pylist() for c in ("unit", "member", "bands"))
+            names, members = (batch.column(c).to_pylist() for c in ("unit", "member"))
+            keys = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
             data, offsets = V.text_buffers(batch.column("text"))
             own = [s for i, j in V.pieces(offsets) for s in V.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)]
             starts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
@@ -174,7 +174,7 @@ def confirmed(units: DataFrame, percent: int = PERCENT) -> DataFrame:
                     current, ids, sets, bands = names[a], [], [], []
                 ids += members[a:b]
                 sets += own[a:b]
-                bands += keys[a:b]
+                bands.append(keys[a:b])
         if len(ids) > 1:
             yield edges(ids, sets, bands)
 
@@ -244,7 +244,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, unit: int = UN
     repeats = sketched.where("digest is not null").groupBy("doc_id", "own").count().where("count > 1").head(1)
 
     def verified(units: DataFrame) -> DataFrame:
-        packed = F.concat(*(F.unhex(F.substring(F.lpad(F.hex(F.get("bands", k)), 16, "0"), 9, 8)) for k in range(BANDS)))
+        packed = F.transform("bands", lambda x: F.shiftrightunsigned(x, 33).cast("int"))  # enough to tell bands apart
         wanted = classes.select("member", "rep.doc_id", "rep.own", packed.alias("bands")).join(units, "member")
         rows = texts.where(F.col("text").isNotNull()).join(small(cut(wanted), most=TOLD), ["doc_id", "own"])
         return cut(confirmed(rows.dropDuplicates(["unit", "member"]) if repeats else rows, percent))
