@@ -124,16 +124,19 @@ def merged(df: DataFrame) -> DataFrame:
     df = df.withColumn("head_at", last_head("pos")).withColumn("head_unit", last_head("unit"))
     # an island that a stray paragraph heads falls apart again
     df = df.withColumn("key", F.when(F.col("head_unit") == "paragraph", F.col("pos")).otherwise(F.col("head_at")))
-    island = W.partitionBy("doc_id", "key").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    kept = ["ctx", "run_first", "open_quote", "omitted", "unit", *LABEL]
+    heads = F.min_by(F.struct(*kept, F.col("content").alias("first_content")), "pos").alias("head")
+    ends = F.max_by(F.struct("close_quote", "note"), "pos").alias("end")
+    in_order = lambda c: F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("x"))))["x"]
+    found = [heads, ends, in_order("content").alias("texts")]
     if "runs" in df.columns:
         spaced = F.when(F.col("joins") & (F.col("content") != ""), F.concat(F.array(U.run(F.lit(" "))), F.col("runs"))).otherwise(F.col("runs"))
-        df = df.withColumn("pieces", F.filter(F.flatten(F.collect_list(spaced).over(island)), lambda r: r["text"] != ""))
+        df = df.withColumn("spaced", spaced)
+        found.append(F.filter(F.flatten(in_order("spaced")), lambda r: r["text"] != "").alias("pieces"))
+    out = df.groupBy("doc_id", "key").agg(*found).select("doc_id", F.col("key").alias("pos"), *(F.col(f"head.{c}").alias(c) for c in kept), "end.close_quote", "end.note", F.col("head.first_content").alias("content"), "texts", *(["pieces"] if "runs" in df.columns else []))
+    if "runs" in df.columns:
         blank = F.coalesce(F.try_element_at("pieces", F.lit(1))["text"] == " ", F.lit(False))
-        df = df.withColumn("runs", U.merge(F.when(blank, F.slice("pieces", F.lit(2), F.size("pieces"))).otherwise(F.col("pieces")))).drop("pieces")
-    df = df.withColumns({"texts": F.collect_list("content").over(island), "close_quote": F.last("close_quote").over(island), "note": F.last("note").over(island)})
-    # the head stands for its island; in the order of the key, which is its own position, no window below sorts again
-    kept = ["ctx", "run_first", "open_quote", "close_quote", "note", "omitted", "unit", *LABEL, "content", "texts"]
-    out = df.where("key = pos").select("doc_id", F.col("key").alias("pos"), *kept, *(["runs"] if "runs" in df.columns else []))
+        out = out.withColumn("runs", U.merge(F.when(blank, F.slice("pieces", F.lit(2), F.size("pieces"))).otherwise(F.col("pieces")))).drop("pieces")
     grouping = F.coalesce((F.col("level") < 110) & (F.col("unit") == "provision"), F.lit(False))
     joined = F.when(F.size("texts") > 1, F.array_join(F.array_remove("texts", ""), " ")).otherwise(F.col("content"))
     out = out.withColumn("content", F.when(F.col("unit") == "omission", F.col("content")).otherwise(joined)).withColumn("heading", F.when(grouping & (F.col("content") != ""), F.col("content")))
