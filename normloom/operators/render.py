@@ -16,6 +16,10 @@ from normloom.functions import text as X
 from normloom.operators import runs as U
 
 
+#: Columns of an outline that bodies are made of; with styled lines also runs.
+COLUMNS = ["at", "unit", "kind", "level", "num", "comp", "is_unique", "name", "title", "content", "open_quote", "close_quote", "note", "omitted", "id", "parent_id", "leaf", "due"]
+
+
 def _attribute(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f' {name}="'), X.escape_xml(value), F.lit('"')), F.lit(""))
 
@@ -33,17 +37,25 @@ def render(nodes: DataFrame, opening: Column, name: Column, element: str | None
     """(doc_id, body): the nodes of each document as nested text.
 
     Each node knows all nodes around it, so the closing tags due before the
-    next node are read off the two nodes' ancestries, of any depth; the
-    document is then one ordered concatenation.  element: the name of all
-    elements, where they have one.
+    next node are read off the two nodes' ancestries, of any depth, unless an
+    outline of COLUMNS lists them; the document is then one ordered
+    concatenation.  element: the name of all elements, where they have one.
     """
     tag = lambda x: F.concat(F.lit("</"), F.lit(element) if element else x, F.lit(">"))
+    if {"leaf", "due"} <= set(nodes.columns):
+        size = F.size("due")
+        due_tags = F.repeat(F.lit(f"</{element}>"), size) if element else F.when(size > 0, F.concat(F.lit("</"), F.array_join("due", "></"), F.lit(">"))).otherwise(F.lit(""))
+        return _bodies(nodes.select("doc_id", "at", F.concat(opening, F.when(F.col("leaf"), tag(name)).otherwise(F.lit("")), due_tags).alias("piece")))
     around = F.lead("ancestry").over(Window.partitionBy("doc_id").orderBy("at"))
     df = nodes.withColumns({"text_open": opening, "text_name": name, "next_at": F.coalesce(around["at"], F.array().cast("array<int>"))})
     kept = F.size(F.array_intersect("ancestry.at", "next_at"))
     due = F.reverse(F.slice("ancestry", kept + 1, F.size("ancestry") - kept))
     closes = F.concat(tag(F.col("text_name")), F.array_join(F.transform(due, lambda x: tag(x["tag"])), ""))
     pieces = df.withColumn("piece", F.concat("text_open", F.when(F.array_contains("next_at", F.col("at")), F.lit("")).otherwise(closes)))
+    return _bodies(pieces)
+
+
+def _bodies(pieces: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])
     return pieces.groupBy("doc_id").agg(F.array_join(ordered, "").alias("body"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from normloom.functions import labels as L
 from normloom.functions import text as X
 from normloom.functions.levels import LEVELS, case, follows, may_be_first, may_contain
+from normloom.operators.nesting import AMONG
 from normloom.sources.readers import classified
 
 #: Problem codes: category and meaning (fixed values; 1 to 5: input, metadata, system, structure, references).
@@ -18,6 +19,8 @@ CODES = {
     18: (4, "list in a paragraph"), 19: (4, "repeated path"), 20: (4, "omission outside an amendment"), 21: (4, "table"), 22: (4, "single but not unique"), 23: (4, "connective out of place"), 3001: (3, "rendering failure"),
 }
 SCHEMA = "doc_id long, code int, category int, at int, position string, message string"
+#: Columns of an outline that the rules look at.
+COLUMNS = ["at", "ctx", "unit", "kind", "level", "num", "comp", "is_unique", "name", "content", "omitted", "parent_level", "path", "id", *AMONG]
 
 
 _C = F.col
@@ -26,11 +29,13 @@ _C = F.col
 def prepared(nodes: DataFrame) -> DataFrame:
     """Nodes with what the rules look at: the sibling before, counts of siblings, equal ids.
 
-    All windows keep the partitioning by document that the outline has, so the
-    rules together add no shuffle.
+    An outline of COLUMNS has these already, so the rules add no shuffle; others
+    get them by windows, with one shuffle on the document key.
     """
     df = nodes if "klass" in nodes.columns else nodes.withColumn("klass", F.lit(None).cast("string"))
     df = df.withColumn("ranked", (_C("unit") == "provision") & (_C("ctx") == 0))
+    if set(AMONG) <= set(nodes.columns):
+        return df
     siblings = Window.partitionBy("doc_id", "ranked", "parent_at").orderBy("at")
     level = Window.partitionBy("doc_id", "ranked", "parent_at", "level").orderBy("at")
     kind = Window.partitionBy("doc_id", "ranked", "parent_at", "kind")
