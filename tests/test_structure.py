@@ -263,3 +263,41 @@ def test_profiles(spark):
     assert P.profiles(spark).count() == 36
     with pytest.raises(TypeError):
         P.override(known[0], nothing=1)
+
+
+def test_the_outline_reads_lines_in_one_pass(spark):
+    plan = outline(spark, TEXT)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") <= 1 and plan.count("Sort ") <= 1
+    few = O.outline(lines(spark, TEXT), columns=["ord", "id"])
+    assert few.columns == ["doc_id", "ord", "id"]
+    assert [r.id for r in few.orderBy("ord").collect()] == [r.id for r in outline(spark, TEXT).orderBy("at").collect()]
+
+
+def test_amendments_below_generics_are_named_by_their_numbers(spark):
+    rows = outline(spark, "Art. 1º Um:\nMulta - leve;\nMulta - grave:\n“Art. 5º Novo.” (NR)").collect()
+    assert {"art1_cpt_dpg2", "art1_cpt_dpg2_alt1", "art1_cpt_dpg2_alt1_art5_cpt"} <= {r.id for r in rows}
+
+
+def test_problems_and_bodies_need_no_windows(spark):
+    texts = [TEXT, *(s for s, _ in SEQUENCES), "Art. 1º Muda:\n“CAPÍTULO II\nDO PRAZO\nArt. 5º Um:\nI - dois;\nSolto. Fim.\nArt. 6º Três.” (NR)\n...\nSolto. Fim.\n§ 1º Um."]
+    whole = outline(spark, *texts)
+    found = V.validate(O.outline(lines(spark, *texts), columns=V.COLUMNS), optional=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Window ") <= 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, V.validate(whole, optional=True).collect()))
+    for body in (R.xml_body, R.html_body):
+        made = body(O.outline(lines(spark, *texts), columns=R.COLUMNS))
+        assert made._jdf.queryExecution().executedPlan().toString().count("Window ") <= 1
+        assert sorted(made.collect()) == sorted(body(whole).collect())
+
+
+def test_labels_of_both_readings_agree(spark):
+    from normloom.functions import labels as L
+    from normloom.functions import text as X
+    from normloom.operators import nesting as N
+
+    texts = ["Art. 5º-A. O prazo", "Artigo único. x", "Art. 1.234. y", "Parágrafo primeiro-B. z", "§ 3º-B Texto", "XIV-A – texto", "II -) x", "aa) x", "12) x", "1.2.3 x", "2001 foi", "d - x", "Pena – x", "MEDIDA  ADMINISTRATIVA - x", "PARTE ÚNICA", "PARTE SEGUNDA", "PARTE XPTO-A", "LIVRO III", "LIVRO NOVO", "SUBCAPÍTULO I", "Seção Única", "TÍTULO II-A", "Mil reais", "", "Art. 99999999999 x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.normalize(F.col("t")).alias("norm"))
+    for compatible in (False, True):
+        for r in df.select("*", L.parse(F.col("norm"), compatible).alias("p")).collect():
+            assert N.normalize(r.t) == r.norm
+            assert N.parse(r.norm, compatible) == (None if r.p is None else (tuple(r.p.label), r.p.taken)), r.t
