@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from normloom.functions import norms as N
 from normloom.functions.levels import case
+from normloom.operators import nesting
+from normloom.operators import outline as O
 
 #: Classes of a match and their rank (fixed values).
 RANKS = {"exact": 10, "prefix": 9, "suffix": 8, "superprefix": 7, "neighbour": 6, "partial": 4, "none": 0}
@@ -53,15 +55,23 @@ def matches(citations: DataFrame, fragments: DataFrame, keys: list[str]) -> Data
     return pairs.withColumn("m", classify(F.col("cited"), F.col("fragment"))).select(*keys, "base", "urn", "year", "month", "day", "cited", "fragment", "m.level", "m.complement")
 
 
+def run_matches(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """As matches, of amendments that each hold their references and fragments (keys, links, fragments): no join."""
+    part = lambda c: F.explode(F.array_distinct(c))
+    cited = runs.select(*keys, part("links").alias("urn"), "fragments").withColumn("u", N.urn_parts(F.col("urn"))).where("u is not null")
+    pairs = cited.select(*keys, "urn", F.col("u.base").alias("base"), F.col("u.year").alias("year"), F.col("u.month").alias("month"), F.col("u.day").alias("day"), F.coalesce("u.fragment", F.lit("")).alias("cited"), part("fragments").alias("fragment"))
+    return pairs.withColumn("m", classify(F.col("cited"), F.col("fragment"))).select(*keys, "base", "urn", "year", "month", "day", "cited", "fragment", "m.level", "m.complement")
+
+
 def best_matches(found: DataFrame, keys: list[str]) -> DataFrame:
     """Best match of each fragment under each base: highest level, then urn and complement."""
     top = F.max(F.struct("level", "urn", "cited", "complement")).alias("top")
     return found.groupBy(*keys, "base", "year", "month", "day", "fragment").agg(top).select(*keys, "base", "year", "month", "day", "fragment", "top.*")
 
 
-def match_counts(best: DataFrame, keys: list[str], name: str = "n_") -> DataFrame:
-    """Counts of each class under each base."""
-    return best.groupBy(*keys, "base", "year", "month", "day").agg(*(F.count_if(F.col("level") == rank).alias(name + kind) for kind, rank in RANKS.items()))
+def match_counts(best: DataFrame, keys: list[str], name: str = "n_", more: list[Column] | None = None) -> DataFrame:
+    """Counts of each class under each base; more: other aggregates beside them."""
+    return best.groupBy(*keys, "base", "year", "month", "day").agg(*(more or []), *(F.count_if(F.col("level") == rank).alias(name + kind) for kind, rank in RANKS.items()))
 
 
 def best_base(best: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +80,10 @@ def best_base(best: DataFrame, keys: list[str]) -> DataFrame:
     First bases whose fragments all match, then more exact matches, and so on
     down to more unmatched ones, then the older norm, dated before undated.
     """
-    counts = match_counts(best, keys)
+    return _first(match_counts(best, keys), keys)
+
+
+def _first(counts: DataFrame, keys: list[str]) -> DataFrame:
     order = [F.asc(F.col("n_none") > 0), *(F.desc(f"n_{kind}") for kind in ORDER), F.asc_nulls_last("year"), F.asc_nulls_last("month"), F.asc_nulls_last("day"), F.asc("base")]
     return counts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("place = 1").drop("place")
 
@@ -80,6 +93,12 @@ def rewritten(best: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
     return best.join(chosen.select(*keys, "base"), [*keys, "base"]).select(*keys, "base", "fragment", F.concat("complement", "fragment").alias("full_fragment"))
 
 
+def best_rewritten(best: DataFrame, keys: list[str]) -> DataFrame:
+    """As rewritten under best_base, read once: counts keep the fragments of their base."""
+    chosen = _first(match_counts(best, keys, more=[F.collect_list(F.struct("fragment", F.concat("complement", "fragment").alias("full_fragment"))).alias("named")]), keys)
+    return chosen.select(*keys, "base", F.inline("named"))
+
+
 def with_overrides(nodes: DataFrame, renamed: DataFrame) -> DataFrame:
     """Nodes with override_id and base_urn from the best base of their amendment.
 
@@ -112,6 +131,15 @@ def find_links_with(nodes: DataFrame, finder) -> DataFrame:
     return nodes.withColumn("links", F.array_distinct(F.pandas_udf(finder, ArrayType(StringType()))(F.col("content"))))
 
 
+def amendment_runs(lines: DataFrame) -> DataFrame:
+    """(doc_id, run_parent, parent_at, around, fragments) of each amendment of an outline's lines.
+
+    around: the text of the provision that encloses it; fragments: those of its
+    own provisions.  Both come out of the one pass over a document, dealt by document.
+    """
+    return O.made(lines, nesting.Runs.TYPES, sink=nesting.Runs).repartition("doc_id")
+
+
 def amendment_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Citations of the provision that encloses each amendment, and the amendment's fragments."""
     runs = nodes.where("unit = 'amendment'").select("doc_id", F.col("at").alias("run_parent"), F.col("parent_at"))

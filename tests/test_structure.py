@@ -301,3 +301,35 @@ def test_labels_of_both_readings_agree(spark):
         for r in df.select("*", L.parse(F.col("norm"), compatible).alias("p")).collect():
             assert N.normalize(r.t) == r.norm
             assert N.parse(r.norm, compatible) == (None if r.p is None else (tuple(r.p.label), r.p.taken)), r.t
+
+
+def test_matches_of_runs_equal_the_joined_ones(spark):
+    texts = ["Art. 1º A urn:lex:br:federal:lei:1990;1!art5 e a urn:lex:br:federal:lei:1980;2!art9_par1 mudam:\n“§ 1º Um.\nI - dois;” (NR)\nArt. 2º Muda:\n“§ 1º Um.” (NR)", "“Art. 5º Sem nada em volta.” (NR)", TEXT, "Art. 1º A urn:lex:br:federal:lei:1990;1!art5 muda:\nTexto solto. Fim.\n“§ 1º Um.\nPar. Fim.\n§ 1º Um.” (NR)"]
+    keys = ["doc_id", "run_parent"]
+    cited, frags = M.amendment_links(M.find_links(outline(spark, *texts)))
+    joined = M.matches(cited, frags, keys)
+    runs = M.amendment_runs(lines(spark, *texts)).withColumn("content", F.coalesce("around", F.lit("")))
+    found = M.run_matches(M.find_links(runs), keys)
+    assert found.count() > 4 and sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
+    best = M.best_matches(joined, keys)
+    named = M.best_rewritten(M.best_matches(found, keys), keys)
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and plan.count("Exchange") == 2
+    assert sorted(named.collect()) == sorted(M.rewritten(best, M.best_base(best, keys), keys).collect())
+
+
+def test_texts_in_order_give_the_outline_of_their_lines(spark):
+    texts = [TEXT, *(s for s, _ in SEQUENCES), "Art. 1º Muda:\n“Art. 2º Um.\n\n\nSolto,\n \nI - .....” (NR)\n\n“Art. 3º Dois:\nII - fim.” (AC)\n\n” a\nArt. 4º Fim,\nque segue.", "“x\n..."]
+    whole = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").coalesce(1)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(O.outline(whole)) == rows(outline(spark, *texts))
+    apart = whole.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    assert rows(O.outline(apart)) == rows(outline(spark, *texts))
+    assert "Exchange" not in O.outline(whole)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_norms_are_dealt_once(spark):
+    from normloom.plans import corpus
+
+    plan = corpus.lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "explode" not in plan
