@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, St
 
 from normloom.functions import labels as L
 from normloom.functions import text as X
+from normloom.operators import nesting
+from normloom.operators import outline as O
 from normloom.operators import runs as U
 
 
@@ -95,6 +97,14 @@ def html_body(nodes: DataFrame) -> DataFrame:
     return render(nodes, F.concat(head, text), F.lit("div"), "div")
 
 
+def bodies(lines: DataFrame, html: bool = False) -> DataFrame:
+    """As xml_body or html_body of the outline of lines, made in the outline's own pass; styled lines by these."""
+    if "runs" in lines.columns:
+        return (html_body if html else xml_body)(O.outline(lines, columns=[*COLUMNS, "runs"]))
+    sink = nesting.HtmlBodies if html else nesting.XmlBodies
+    return O.made(lines, sink.TYPES, sink=sink)
+
+
 def metadata_xml(urn: Column) -> Column:
     return F.concat(F.lit("<Metadado><Identificacao"), _attribute("URN", urn), F.lit("/></Metadado>"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from normloom.functions import labels as L
 from normloom.functions import text as X
 from normloom.functions.levels import LEVELS, case, follows, may_be_first, may_contain
+from normloom.operators import nesting
+from normloom.operators import outline as O
 from normloom.operators.nesting import AMONG
 from normloom.sources.readers import classified
 
@@ -93,6 +95,12 @@ def validate(nodes: DataFrame, optional: bool = False) -> DataFrame:
     return hits.select("doc_id", _C("hit.code").alias("code"), case(_C("hit.code"), {k: v[0] for k, v in CODES.items()}).alias("category"), _C("at").cast("int").alias("at"), position.alias("position"), case(_C("hit.code"), {k: v[1] for k, v in CODES.items()}).alias("message"), _C("hit.rule").alias("rule"))
 
 
+def problems(lines: DataFrame) -> DataFrame:
+    """As validate of the outline of lines, the rules applied in the outline's own pass (without the optional ones)."""
+    hits = O.made(lines, nesting.Problems.TYPES, sink=nesting.Problems)
+    return hits.select("doc_id", "code", case(_C("code"), {k: v[0] for k, v in CODES.items()}).alias("category"), "at", "position", case(_C("code"), {k: v[1] for k, v in CODES.items()}).alias("message"), "rule")
+
+
 def empty_body(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """Problem 9 for documents without any node."""
     bare = documents.select("doc_id").join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")

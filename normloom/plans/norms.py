@@ -183,7 +183,7 @@ def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every bill as a whole XML document."""
     profile = P.find("br", "senado.federal", "projeto.lei;pls")
     parts = S.parts(_bills(spark, sf_dir), profile)
-    whole = S.documents(parts, profile).join(R.xml_body(O.outline(S.body(parts), columns=R.COLUMNS)), "doc_id", "left")
+    whole = S.documents(parts, profile).join(R.bodies(S.body(parts)), "doc_id", "left")
     urn = N.urn(F.lit(profile.locality), F.lit(profile.authority), F.lit(profile.type), F.concat(F.lit("1998;"), F.col("doc_id").cast("string")))
     return whole.select("doc_id", R.document_xml(urn, R.initial_part_xml(F.col("heading"), F.col("summary"), F.col("preamble")), F.col("body")).alias("xml"))
 

@@ -333,3 +333,33 @@ def test_norms_are_dealt_once(spark):
 
     plan = corpus.lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "explode" not in plan
+
+
+ODD = ["Art. 1º Muda:\n“CAPÍTULO II\nDO PRAZO\nArt. 5º Um:\nI - dois;\nSolto. Fim.\nArt. 6º Três.” (NR)\n...\nSolto. Fim.\n§ 1º Um.", "PARTE GERAL\nLIVRO NOVO\nDOS <BENS>\nSEÇÃO ÚNICA\nArt. 1.234-B. Um & \"dois\":\nMulta - x;\nPena - y.\nDo prazo\nArtigo único. Fim <ol>:\naa) b;\n1. c <TABLE>.", "Art. 1º Um:\nI - a:\n...\na) b;\nII-A - c.\nArt. 1º A:\n“§ 1º Um.\nParágrafo único. Dois.\na) três.\nArt. 9º Q.” (AC)\n“§ 1º Um.” (NR)", "Solto. Fim.\n“Solto. Fim.\nI - x.” (NR)"]
+
+
+def test_problems_and_bodies_of_one_pass(spark):
+    texts = [TEXT, *(s for s, _ in SEQUENCES), *ODD]
+    given, whole = lines(spark, *texts), outline(spark, *texts)
+    found = V.problems(given)
+    for made in (found, R.bodies(given), R.bodies(given, html=True)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Window ") == 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, V.validate(whole).collect()))
+    assert sorted(R.bodies(given).collect()) == sorted(R.xml_body(whole).collect())
+    assert sorted(R.bodies(given, html=True).collect()) == sorted(R.html_body(whole).collect())
+
+
+def test_labels_and_paths_are_shown_alike(spark):
+    from normloom.functions import labels as L
+    from normloom.functions.levels import LEVELS
+    from normloom.operators import nesting as N
+
+    rows = [(x.kind, x.level, n, c, u, name) for x in LEVELS for n in (None, 0, 1, 9, 10, 27, 1999, 4321) for c in (None, 0, 27) for u in (False, True) for name in (None, "XPTO ")]
+    df = spark.createDataFrame(rows, L.SCHEMA)
+    shown = L.display(F.col("kind"), F.col("num"), F.col("comp"), F.col("is_unique"), F.col("name"))
+    for r in df.select("*", F.trim(shown).alias("shown")).collect():
+        assert N.display(r.kind, r.num, r.comp, r.is_unique, r.name) == r.shown, r
+    paths = outline(spark, TEXT, *ODD).select("id", "path", L.path_text(F.col("path")).alias("shown")).collect()
+    as_row = lambda x: (None, None, None, x.kind, x.level, x.num, x.comp, x.is_unique, x.name)
+    assert [N.path_text([as_row(x) for x in r.path]) for r in paths] == [r.shown for r in paths]
