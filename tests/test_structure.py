@@ -363,3 +363,11 @@ def test_labels_and_paths_are_shown_alike(spark):
     paths = outline(spark, TEXT, *ODD).select("id", "path", L.path_text(F.col("path")).alias("shown")).collect()
     as_row = lambda x: (None, None, None, x.kind, x.level, x.num, x.comp, x.is_unique, x.name)
     assert [N.path_text([as_row(x) for x in r.path]) for r in paths] == [r.shown for r in paths]
+
+
+def test_norms_of_orders_are_dealt_to_all_tasks(spark):
+    from normloom.plans import corpus
+
+    spread = corpus.varied_lines(spark, "/root/testdata/sf0.001")
+    spread.collect()
+    assert spread.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
