@@ -371,3 +371,17 @@ def test_norms_of_orders_are_dealt_to_all_tasks(spark):
     spread = corpus.varied_lines(spark, "/root/testdata/sf0.001")
     spread.collect()
     assert spread.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_paths_and_features_of_one_pass(spark):
+    from normloom.functions import labels as L
+
+    texts = [TEXT, *(s for s, _ in SEQUENCES), *ODD, "Art. 1º A ementa muda:\nPena - y."]
+    given, whole = lines(spark, *texts), outline(spark, *texts)
+    want = whole.select("doc_id", "ctx", "id", L.path_text(F.col("path")).alias("shown"))
+    assert sorted(map(str, O.path_texts(given).collect())) == sorted(map(str, want.collect()))
+    flags = {r.doc_id: (r.features, r.provisions) for r in O.feature_flags(whole).collect()}
+    made = O.document_features(given)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = [r.asDict() for r in made.collect()]
+    assert {r.pop("doc_id"): (r, r.pop("provisions")) for r in rows} == flags
