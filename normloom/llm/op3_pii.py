@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normloom.llm import textvec as V
 from normloom.llm.common import map_text, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -405,16 +406,23 @@ def spans_of(text: str | None, model: Field) -> tuple[list[tuple[int, int, int]]
     return base, base + added_spans(text, base, model)
 
 
+def _pieces(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, so many at a time that a worker holds few texts as objects beside it."""
+    for i, j in V.pieces(V.text_buffers(batch.column(column))[1]):
+        yield batch.slice(i, j - i)
+
+
 def find(documents: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base and all spans of each whole text."""
     model = field()
     names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "spans"]
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = [spans_of(x, model) for x in batch.column("text").to_pylist()]
-        counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in range(4)]
-        texts = [pa.array([joined(r[k]) for r in rows], pa.string()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, *texts], names=names)
+        for own in _pieces(batch, "text"):
+            rows = [spans_of(x, model) for x in own.column("text").to_pylist()]
+            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in range(4)]
+            texts = [pa.array([joined(r[k]) for r in rows], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), *counts, *texts], names=names)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
     return map_text(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, schema)
@@ -441,10 +449,10 @@ def mask(documents: DataFrame) -> DataFrame:
     at = columns.index("text")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [masked(x, spans_of(x, model)[1]) for x in batch.column(at).to_pylist()]
-        arrays = list(batch.columns)
-        arrays[at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(arrays, names=columns)
+        for own in _pieces(batch, at):
+            arrays = list(own.columns)
+            arrays[at] = pa.array([masked(x, spans_of(x, model)[1]) for x in own.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return map_text(documents.withColumn("text", F.col("text").cast("string")), work, documents.withColumn("text", F.col("text").cast("string")).schema)
 
