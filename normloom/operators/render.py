@@ -7,8 +7,10 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from normloom.functions import labels as L
@@ -134,6 +136,19 @@ def debug_json(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "at", F.to_json(F.struct(*(c for c in nodes.columns if c not in ("doc_id", "at")))).alias("node"))
 
 
+def node_json(lines: DataFrame, fields: dict[str, pa.DataType] | None = None) -> DataFrame:
+    """As debug_json of the outline of lines, made in the outline's own pass; styled lines by that.
+
+    fields: those to be read back out of each node's JSON there, given in its place.
+    """
+    if "runs" in lines.columns:
+        nodes = debug_json(O.outline(lines))
+        return nodes if fields is None else nodes.select("doc_id", F.from_json("node", StructType([StructField(c, from_arrow_type(t)) for c, t in fields.items()])).alias("x")).select("doc_id", "x.*")
+    if fields is None:
+        return O.made(lines, nesting.NodeJson.TYPES, sink=nesting.NodeJson)
+    return O.made(lines, fields, sink=nesting.NodeJson, then=lambda batches: nesting.read_back(batches, fields))
+
+
 @F.pandas_udf(BinaryType())
 def zip_bundle(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """ZIP of metadata and text XML, the heading as its comment; same input, same bytes."""

@@ -14,6 +14,7 @@ from normloom.operators import outline as O
 from normloom.operators import render as R
 from normloom.operators import segment as S
 from normloom.operators import validate as V
+from normloom.plans import registry
 from normloom.sources import profiles as P
 from normloom.sources import readers
 
@@ -385,3 +386,37 @@ def test_paths_and_features_of_one_pass(spark):
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     rows = [r.asDict() for r in made.collect()]
     assert {r.pop("doc_id"): (r, r.pop("provisions")) for r in rows} == flags
+
+
+def test_json_of_one_pass(spark, monkeypatch):
+    import pyarrow as pa
+
+    from normloom.operators import nesting as N
+
+    odd = "CAPÍTULO I\nDO \"PRAZO\" \\ \x01\x1f\x7f\x08\u2028 </A>\nArt. 1º Texto \"a\\b\" \x0b\x1b\x02 \U0001f600 é:\nMulta - \x0e\"x\";\nDo \"título\"\x03\n§ 1º Um."
+    texts = [TEXT, *(s for s, _ in SEQUENCES), *ODD, odd, "Art. 1º Um.\n" * 3, "..."]
+    whole, given = outline(spark, *texts), lines(spark, *texts)
+    want = sorted(R.debug_json(whole).collect())
+    made = R.node_json(given)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(made.collect()) == want
+    # few nodes at once, by number and by size: the same text
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(1, len(texts) + 1)), "text": texts})]
+    for bound, value, most in (("ROWS", 2, 2), ("SIZE", 1, 1)):
+        monkeypatch.setattr(N.NodeJson, bound, value)
+        out = list(N.outlined(iter(batches), [], False, False, N.NodeJson))
+        assert all(0 < b.num_rows <= most for b in out)
+        assert sorted(tuple(r.values()) for b in out for r in b.to_pylist()) == [tuple(r) for r in want]
+    fields = {"id": pa.string(), "kind": pa.string(), "level": pa.int32(), "content": pa.string(), "title": pa.string(), "omitted": pa.bool_()}
+    read = R.node_json(given, fields)
+    assert "to_json" not in read._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, read.collect())) == sorted(map(str, whole.select("doc_id", *fields).collect()))
+    assert R.node_json(given.limit(0), fields).count() == 0
+    styled = given.withColumn("runs", F.lit(None).cast("array<struct<text:string,b:boolean,i:boolean,sup:boolean,sub:boolean,href:string>>"))
+    assert sorted(R.node_json(styled).collect()) == sorted(R.debug_json(O.outline(styled)).collect())
+    assert sorted(map(str, R.node_json(styled, fields).collect())) == sorted(map(str, read.collect()))
+
+
+def test_json_is_not_made_by_expressions(spark):
+    plan = registry.load()[0]["debug_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "to_json" not in plan and "get_json_object" not in plan and plan.count("MapInArrow") == 1 and plan.count("Exchange") == 2
