@@ -420,3 +420,45 @@ def test_json_of_one_pass(spark, monkeypatch):
 def test_json_is_not_made_by_expressions(spark):
     plan = registry.load()[0]["debug_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "to_json" not in plan and "get_json_object" not in plan and plan.count("MapInArrow") == 1 and plan.count("Exchange") == 2
+
+
+def test_worker_holds_no_lines_that_are_done():
+    import gc
+
+    import pyarrow as pa
+
+    from normloom.operators import nesting as N
+
+    texts = [TEXT, *(s for s, _ in SEQUENCES), *ODD, "Art. 1º A ementa muda:\nPena - y."]
+    plain = {"doc_id": list(range(len(texts))), "text": texts}
+    rows = [(d, k, raw, [N._run(raw)]) for d, t in enumerate(texts) for k, raw in enumerate(t.split("\n"))]
+    styled = dict(zip(("doc_id", "pos", "raw", "runs"), map(list, zip(*rows))))
+    for sink, columns in ((N.Nodes, ["id", "path", "leaf", "due", "n_same"]), (N.Kinds, ["kind", "quoted", "n", "n_docs"]), (N.Paths, ["ctx", "id", "shown"]), (N.Problems, list(N.Problems.TYPES)), (N.XmlBodies, ["body"]), (N.NodeJson, [])):
+        for given in (plain, styled):
+            # the collector is off while documents are read, so what it would find then is held until a task ends
+            gc.collect()
+            gc.disable()
+            try:
+                assert list(N._outlined(iter([pa.RecordBatch.from_pydict(given)]), columns, given is styled, False, sink))
+                assert gc.collect() == 0, (sink, given is styled)
+            finally:
+                gc.enable()
+
+
+def test_kinds_of_one_pass(spark, monkeypatch):
+    import pyarrow as pa
+
+    from normloom.operators import nesting as N
+
+    texts = [TEXT, *(s for s, _ in SEQUENCES), *ODD, "..."]
+    given = lines(spark, *texts)
+    given = given.unionByName(given.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    want = O.outline(given).groupBy("kind", (F.col("ctx") > 0).alias("quoted")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    made = O.kinds(given)
+    assert sorted(made.collect()) == sorted(want.collect()) and made.columns == want.columns
+    # few lines at once: each document still counts once
+    monkeypatch.setattr(N, "BATCH", 1)
+    batches = list(N.outlined(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 1, 2], "text": ["CAPÍTULO I\nArt. 1º Um.", "Art. 2º Dois.", "Art. 1º Um."]})]), list(N.Kinds.TYPES), False, False, N.Kinds))
+    assert len(batches) == 2
+    assert sum(r["n"] for b in batches for r in b.to_pylist() if r["kind"] == "article") == 3
+    assert sum(r["n_docs"] for b in batches for r in b.to_pylist() if r["kind"] == "article") == 2
